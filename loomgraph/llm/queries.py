@@ -2,19 +2,114 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomgraph.llm.bpe import bpe_round_trip
+from loomgraph.llm.embeddings import near_vectors
+from loomgraph.llm.fingerprints import fingerprint_pairs
+from loomgraph.llm.licenses import NOTICES, STEPS, TEXTS, license_scan
 from loomgraph.llm.minhash import minhash_components
+from loomgraph.llm.mixing import mixed_sizes
+from loomgraph.llm.pii import pii_spans
+from loomgraph.llm.quality import quality_scores
+from loomgraph.llm.substrings import repeated_windows_removed
+from loomgraph.llm.urlfilter import judge_urls
 from loomgraph.runtime import table
 
 
+def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_windows_removed(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    named = (
+        op1_bpe_round_trip, op2_quality_classifier, op3_embedding_near_dedup, op4_pii, op5_fingerprints,
+        op6_substring_dedup, op7_url_filter, op8_source_mix, op9_license_scan, op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in named}
+
+
+_OP7 = r"""
+WITH u AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path
+  FROM pages),
+r(v, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+                      ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (
+  SELECT u.*, h || p AS rule, v,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC NULLS LAST) AS k
+  FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _op9() -> str:
+    def norm(x: str) -> str:
+        out = f"lower(coalesce({x}, ''))"
+        for pattern, new in STEPS:
+            out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(new)}, 'g')"
+        return out.replace("'\n'", "chr(10)")
+
+    digest = r"sha256(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+    rows = [(t, i, "text") for i, ts in TEXTS.items() for t in ts] + [(t, i, "line") for i, ts in NOTICES.items() for t in ts]
+    known = ", ".join("(" + ", ".join(map(_sql_text, r)) + ")" for r in rows)
+    return f"""
+WITH known AS (SELECT DISTINCT {digest.format(norm("t"))} AS digest, i AS license_id, kind FROM (VALUES {known}) v(t, i, kind)),
+texts AS (SELECT digest, min(license_id) AS license_id FROM known WHERE kind = 'text' GROUP BY digest),
+n AS (SELECT doc_id, {norm("text")} AS norm FROM documents),
+lines AS (SELECT DISTINCT doc_id, sha256(trim(l)) AS digest FROM (SELECT doc_id, unnest(string_split(norm, chr(10))) AS l FROM n) t),
+notices AS (SELECT doc_id, count(*) AS k, string_agg(license_id, ',' ORDER BY license_id) AS ids
+            FROM (SELECT DISTINCT doc_id, license_id FROM lines JOIN known USING (digest) WHERE kind = 'line') t GROUP BY doc_id)
+SELECT n.doc_id, {digest.format("norm")} AS digest, texts.license_id AS license_id,
+       coalesce(k, 0) AS n_notices, coalesce(ids, '') AS notices
+FROM n LEFT JOIN texts ON texts.digest = {digest.format("norm")} LEFT JOIN notices USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filter": _OP7, "op9_license_scan": _op9()}
