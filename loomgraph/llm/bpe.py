@@ -173,6 +173,25 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token
     return docs.withColumn(ids, enc(F.col(text).cast("string")))
 
 
+def encoded_and_checked(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the tokens decode to the text."""
+
+    @F.pandas_udf("token_ids array<int>, n_tokens long, round_trip boolean")
+    def both(s: pd.Series) -> pd.DataFrame:
+        bpe = tokenizer(path)
+        ids, same = [], []
+        for x in s:
+            i = np.frombuffer(bpe.encode_bytes(x or ""), "<u4")
+            ids.append(i.astype(np.int32))
+            same.append(bpe.decode_bytes(i.tolist()) == (x or "").encode())
+        return pd.DataFrame({"token_ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": same})
+
+    made = docs.withColumn("_bpe", both(F.col("text").cast("string")))
+    names = ("token_ids", "n_tokens", "round_trip")
+    kept = [F.col(c) for c in docs.columns if c not in names]
+    return made.select(*kept, *(F.col(f"_bpe.{c}").alias(c) for c in names))
+
+
 def bpe_decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """``docs`` with a column ``text`` decoded from the array column ``ids``; null ids: empty text."""
 

@@ -97,9 +97,9 @@ def range_blocks(ids: DataFrame, column: str) -> DataFrame:
     """
     spark = ids.sparkSession
     n = min(MAX_BLOCKS, max(1, 4 * shuffle_partitions(spark)))
-    cuts = ids.agg(
-        F.expr(f"percentile_approx({column}, transform(sequence(1, {n} - 1), i -> i / {n}D), {10 * n + 10000})" if n > 1 else "array()")
-    ).first()[0]
+    if n == 1:
+        return ids.withColumn("_block", F.lit(0))
+    cuts = ids.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n + 10000)).first()[0]
     cuts = sorted(set(cuts or []))
     out = ids.withColumn("_block", F.lit(0))
     step = 1 << (len(cuts).bit_length() - 1) if cuts else 0

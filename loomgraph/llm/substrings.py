@@ -49,11 +49,11 @@ def unpack(data: bytes) -> np.ndarray:
 class _Block:
     """The windows of one block, its documents in the order of their ids."""
 
-    def __init__(self, pdf: pd.DataFrame, cells: int) -> None:
+    def __init__(self, pdf: pd.DataFrame, cells: int, shard_cells: int) -> None:
         self.pdf = pdf.sort_values(["doc_id"], kind="stable", na_position="last")
         self.batch = Batch(self.pdf["text"].tolist())
         self.at, self.h = self.batch.windows(WINDOW)
-        self.cells = cells
+        self.cells, self.shard_cells = cells, shard_cells
 
     def cell(self, row: int) -> np.ndarray:
         """Cell of each window; a row takes up the next ``cells`` numbers."""
@@ -66,7 +66,7 @@ class _Block:
         for row in range(ROWS):
             c, inv, n = np.unique(self.cell(row), return_inverse=True, return_counts=True)
             hit = n > 1
-            shard = (c // U(SHARD_CELLS)).astype(np.int64)
+            shard = (c // U(self.shard_cells)).astype(np.int64)
             ends = np.flatnonzero(np.diff(shard)) + 1
             for lo, hi in zip([0, *ends], [*ends, len(c)]):
                 if hi > lo and (flags := shared.get(int(shard[lo]) * ROWS + row)) is not None:
@@ -79,8 +79,13 @@ class _Block:
         _, second = self.batch.windows(WINDOW, salt=1)
         d = np.empty(len(chosen), dtype=[("a", "<u8"), ("b", "<u8")])
         d["a"], d["b"] = mix(self.h[chosen]), second[chosen]
-        uniq, first, inv = np.unique(d, return_index=True, return_inverse=True)
-        return uniq, first, inv.ravel()
+        order = np.lexsort((d["b"], d["a"]))  # stable: the first window of a run is the earliest
+        a, b = d["a"][order], d["b"][order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        inv = np.empty(len(a), np.int64)
+        inv[order] = np.cumsum(new) - 1
+        return d[order[new]], order[new], inv
 
 
 def _grouped(pdf: pd.DataFrame) -> dict[int, np.ndarray]:
@@ -101,27 +106,27 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    cells = max(1024, LOAD * (total // 5))
+    cells, shard_cells = max(1024, LOAD * (total // 5)), SHARD_CELLS
     src = src.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)"))
     # The exact pass gets at most as many windows as there are words.
     exact_shards = max(1, -(-total // (64 << 20)))
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
-        w = _Block(pdf, cells)
+        w = _Block(pdf, cells, shard_cells)
         rows = []
         for row in range(ROWS):
             c = np.unique(w.cell(row))
-            shard = (c // U(SHARD_CELLS)).astype(np.int64)
+            shard = (c // U(shard_cells)).astype(np.int64)
             ends = np.flatnonzero(np.diff(shard)) + 1
             for lo, hi in zip([0, *ends], [*ends, len(c)]):
                 if hi > lo:
                     s = int(shard[lo])
-                    rows.append((s * ROWS + row, block, pack(c[lo:hi] - U(s * SHARD_CELLS))))
+                    rows.append((s * ROWS + row, block, pack(c[lo:hi] - U(s * shard_cells))))
         return pd.DataFrame(rows, columns=["shard", "block", "data"]).astype({"shard": "int64", "block": "int64"})
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(SHARD_CELLS, np.uint8)
+        seen = np.zeros(shard_cells, np.uint8)
         for data in pdf["data"]:
             c = unpack(data)
             seen[c] = np.minimum(seen[c], 1) + 1
@@ -132,7 +137,7 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
         empty = pd.DataFrame({"shard": [], "block": [], "n": [], "data": []})
         if not len(left):
             return empty
-        w = _Block(left, cells)
+        w = _Block(left, cells, shard_cells)
         pick = np.flatnonzero(w.let_by(_grouped(right)))
         if not len(pick):
             return empty
@@ -154,8 +159,8 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
         # a document is in one block only, so no two entries of a digest tie
         order = np.lexsort((ids, d["b"], d["a"]))
         again = np.zeros(len(d), bool)
-        s = d[order]
-        again[order[1:]] = s[1:] == s[:-1]
+        a, b = d["a"][order], d["b"][order]
+        again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
         ends = np.cumsum(pdf["n"].to_numpy())
         data = [_bits(again[hi - n : hi]) for hi, n in zip(ends, pdf["n"])]
         return pd.DataFrame({"shard": pdf["shard"], "block": pdf["block"], "data": data})
@@ -164,7 +169,7 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
         if not len(left):
             return pd.DataFrame({"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "kept": []})
         kinds = shared["pass"].to_numpy()
-        w = _Block(left, cells)
+        w = _Block(left, cells, shard_cells)
         gone = np.zeros(len(w.batch.hash) + 1, np.int64)
         pick = np.flatnonzero(w.let_by(_grouped(shared[kinds == 1])))
         if len(pick):

@@ -461,3 +461,28 @@ def test_large_lists_and_clusters_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(pairs, "doc_id long, text string")
     mine = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.minhash_components(df).collect()}
     assert mine == plain_near(pairs)
+
+
+# pipeline -----------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    left = cp.quality_classifier(spark, docs, TINY)
+    assert left.columns == docs.columns
+    scores = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, spark.read.parquet(f"{TINY}/labels.parquet")).collect()}
+    left = {r["doc_id"] for r in left.collect()}
+    assert left == {k for k, p in scores.items() if p}
+    kept = cp.minhash_near_dedup(spark, docs, TINY)
+    want = plain_near(sorted((k, r["text"]) for k, r in rows.items()))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
+    masked = cp.pii(spark, docs, TINY).collect()
+    assert all(not plain_pii(r["text"]) and r["n_chars"] == len(r["text"]) for r in masked)
+    assert all(r["text"] == rows[r["doc_id"]]["text"] for r in masked if not pii.find_pii(rows[r["doc_id"]]["text"]))
+    out = cp.run(spark, TINY)
+    got_rows = out.collect()
+    assert got_rows and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in got_rows)
+    assert {r["doc_id"] for r in got_rows} <= left
