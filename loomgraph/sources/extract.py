@@ -36,7 +36,7 @@ def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     rel = F.regexp_replace("path", r"^(file:|[a-z0-9]+://[^/]*)?/*", "")
     base = re.sub(r"^([a-z]+:)?/*", "", root.rstrip("/")) + "/"
-    out = raw.select(F.replace(rel, F.lit(base), F.lit("")).alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = raw.select(F.replace(rel, F.lit(base), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("text"))
     return out.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*NOISE_DIRS)))
 
 
