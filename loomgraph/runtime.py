@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where it isn't installed: add its folder to their path."""
+    env = spark.sparkContext.environment
+    root = str(Path(__file__).resolve().parent.parent)
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -18,8 +29,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     Only where the session names none (unit tests) a temporary folder is used.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    ensure_importable(df.sparkSession)
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
     return df.checkpoint(eager=True)

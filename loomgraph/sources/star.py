@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.runtime import ensure_importable
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 KG_EDGES = """
@@ -54,6 +56,7 @@ VIEWS = {"kg_edges": KG_EDGES, "kg_nodes": KG_NODES, "trade": TRADE, "basket": B
 
 def read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     """Derived inputs (or plain tables) by name, over the Parquet tables of ``sf_dir``."""
+    ensure_importable(spark)
     out = []
     for name in names:
         if name in VIEWS:
