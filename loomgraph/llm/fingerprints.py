@@ -6,6 +6,8 @@ merge into that of the whole, and two of them estimate resemblance, containment
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,15 +103,12 @@ def range_blocks(ids: DataFrame, column: str) -> DataFrame:
         return ids.withColumn("_block", F.lit(0))
     cuts = ids.agg(F.percentile_approx(column, [i / n for i in range(1, n)], 10 * n + 10000)).first()[0]
     cuts = sorted(set(cuts or []))
-    out = ids.withColumn("_block", F.lit(0))
-    step = 1 << (len(cuts).bit_length() - 1) if cuts else 0
-    bounds = F.lit(cuts).cast("array<bigint>")
-    while step:  # halving; a projection for each step keeps the expression small
-        at = F.col("_block") + step
-        fits = (at <= len(cuts)) & (F.get(bounds, at - 1) <= F.col(column))
-        out = out.withColumn("_block", F.when(fits, at).otherwise(F.col("_block")))
-        step >>= 1
-    return out
+    # Two steps of about the root of n comparisons each: filters pushed below keep their size.
+    step = max(1, math.isqrt(len(cuts)))
+    count = lambda bounds: F.size(F.filter(bounds, lambda b: b <= F.col(column)))
+    coarse, bounds = F.lit(cuts[::step]).cast("array<bigint>"), F.lit(cuts).cast("array<bigint>")
+    out = ids.withColumn("_coarse", F.greatest(F.lit(0), count(coarse) - 1) * step)
+    return out.withColumn("_block", F.col("_coarse") + count(F.slice(bounds, F.col("_coarse") + 1, F.lit(step)))).drop("_coarse")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
