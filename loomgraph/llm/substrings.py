@@ -1,7 +1,7 @@
 """Removal of repeated passages: a count-min prefilter, then exact grouping of the windows it lets by.
 
 Documents are dealt into blocks. Each block sketches its windows: the cells they hit in every row of
-a count-min table, sent as compressed sorted lists to the shards of the table, which add the
+a count-min table, sent as Rice-coded sorted lists to the shards of the table, which add the
 blocks up and tell each block which of its cells are hit by another block too. Estimates never fall below the true
 count, so a window that occurs twice is always let by. Those windows go, as 128-bit digests with
 the document they start in, to a second set of shards that group them exactly and answer, again by
@@ -12,7 +12,6 @@ no sketch is ever held in one place.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -28,22 +27,26 @@ BLOCK_BYTES, SHARD_CELLS = 8 << 20, 1 << 24
 
 
 def pack(sorted_ids: np.ndarray) -> bytes:
-    """Sorted non-negative integers as entropy-coded differences, a plane for each byte."""
-    gap = np.diff(sorted_ids, prepend=np.zeros(1, np.uint64)).astype("<u8")
-    planes = np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8).T) if len(gap) else np.zeros((8, 0), np.uint8)
-    used = 8
-    while used > 1 and not planes[used - 1].any():
-        used -= 1
-    z = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
-    return bytes([used]) + z.compress(planes[:used].tobytes()) + z.flush()
+    """Sorted non-negative integers as Rice-coded differences: low bytes as they are, the rest in unary."""
+    n = len(sorted_ids)
+    gap = np.diff(sorted_ids.astype(np.uint64), prepend=np.zeros(1, np.uint64)).astype("<u8")
+    low = 0
+    while n and low < 7 and int(sorted_ids[-1]) >> (8 * low) > 8 * n:
+        low += 1
+    at = np.cumsum(gap >> U(8 * low)).astype(np.int64) + np.arange(n)
+    bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
+    bits[at] = 1
+    planes = gap.view(np.uint8).reshape(-1, 8)[:, :low]
+    return np.array([n, low], "<u4").tobytes() + planes.tobytes() + np.packbits(bits).tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
-    used = data[0]
-    planes = np.frombuffer(zlib.decompress(data[1:], -15), np.uint8).reshape(used, -1)
-    gap = np.zeros((planes.shape[1], 8), np.uint8)
-    gap[:, :used] = planes.T
-    return np.cumsum(gap.view("<u8").ravel(), dtype=np.uint64)
+    n, low = np.frombuffer(data, "<u4", 2).tolist()
+    gap = np.zeros((n, 8), np.uint8)
+    gap[:, :low] = np.frombuffer(data, np.uint8, n * low, 8).reshape(n, low)
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 + n * low)))[:n]
+    high = np.diff(at, prepend=-1).astype(np.uint64) - U(1)
+    return np.cumsum(gap.view("<u8").ravel() + (high << U(8 * low)), dtype=np.uint64)
 
 
 class _Block:
