@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.runtime import ensure_importable
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 KG_EDGES = """
 SELECT concat('R:', r_regionkey) AS src, concat('N:', n_nationkey) AS dst, 'contains' AS relation, 'EXTRACTED' AS confidence
