@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def ensure_importable(spark: SparkSession) -> None:
@@ -45,5 +46,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its 0-based place in a total order, without gathering the rows in one task.
+
+    Rows are sorted over partitions and checkpointed; offsets come from one row for each partition.
+    """
+    placed = checkpoint(df.orderBy(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    k = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + k).drop("_part", "_before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
