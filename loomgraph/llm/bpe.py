@@ -14,11 +14,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import text_chunks
+from loomgraph.llm.words import list_array, text_chunks
 
 #: The published split of byte-level BPE: contractions, letters, numbers, other, white space.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,7 +30,7 @@ _FULL = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|{_WHITE}+(?![^{_WHITE}])|{_WHITE}+"
 )
 #: Pieces a worker remembers; when there are more, it starts afresh. Longer pieces aren't kept.
-CACHE, LONGEST = 600_000, 64
+CACHE, LONGEST = 400_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -142,24 +143,24 @@ def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:
     which is part of an installed package. Other columns are ignored; repeated rows each count.
     """
 
-    def work(frames):
+    def work(batches):
         bpe = tokenizer(path)
-        for pdf in frames:
-            for part in text_chunks(pdf):
-                rows = []
-                for text in part["text"]:
-                    raw = bpe.encode_bytes(text or "")
-                    ids = np.frombuffer(raw, "<u4").tolist()
-                    decoded = bpe.decode_bytes(ids)
-                    if text and not text.isascii():
-                        decoded = decoded.decode("utf-8", "replace").encode()
-                    rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-                yield out
+        for part in text_chunks(batches):
+            n, ids_digest, text_digest = [], [], []
+            for text in part.column("text").to_pylist():
+                raw = bpe.encode_bytes(text or "")
+                ids = np.frombuffer(raw, "<u4").tolist()
+                decoded = bpe.decode_bytes(ids)
+                if text and not text.isascii():
+                    decoded = decoded.decode("utf-8", "replace").encode()
+                n.append(len(ids))
+                ids_digest.append(hashlib.sha256(raw).hexdigest())
+                text_digest.append(hashlib.sha256(decoded).hexdigest())
+            columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_digest), pa.array(text_digest)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
@@ -176,20 +177,22 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token
 def encoded_and_checked(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the tokens decode to the text."""
 
-    @F.pandas_udf("token_ids array<int>, n_tokens long, round_trip boolean")
-    def both(s: pd.Series) -> pd.DataFrame:
-        bpe = tokenizer(path)
-        ids, same = [], []
-        for x in s:
-            i = np.frombuffer(bpe.encode_bytes(x or ""), "<u4")
-            ids.append(i.astype(np.int32))
-            same.append(bpe.decode_bytes(i.tolist()) == (x or "").encode())
-        return pd.DataFrame({"token_ids": ids, "n_tokens": [len(i) for i in ids], "round_trip": same})
-
-    made = docs.withColumn("_bpe", both(F.col("text").cast("string")))
     names = ("token_ids", "n_tokens", "round_trip")
-    kept = [F.col(c) for c in docs.columns if c not in names]
-    return made.select(*kept, *(F.col(f"_bpe.{c}").alias(c) for c in names))
+    src = docs.select(*(c for c in docs.columns if c not in names)).withColumn("text", F.col("text").cast("string"))
+
+    def work(batches):
+        bpe = tokenizer(path)
+        for part in text_chunks(batches):
+            ids, same = [], []
+            for x in part.column("text").to_pylist():
+                i = np.frombuffer(bpe.encode_bytes(x or ""), "<u4")
+                ids.append(i.astype(np.int32))
+                same.append(bpe.decode_bytes(i.tolist()) == (x or "").encode())
+            n = [len(i) for i in ids]
+            made = [list_array(np.concatenate(ids), n), pa.array(n, pa.int64()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
+
+    return src.mapInArrow(work, ", ".join([*(f"`{c}` {t}" for c, t in src.dtypes), "token_ids array<int>, n_tokens long, round_trip boolean"]))
 
 
 def bpe_decode(docs: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:

@@ -14,13 +14,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.grouping import forest, runs, whole_runs
-from loomgraph.llm.words import Batch, U, mix, text_chunks, windows
+from loomgraph.llm.words import Batch, U, list_array, mix, text_chunks, windows
 from loomgraph.operators.components import connected_components
 from loomgraph.runtime import checkpoint, shuffle_partitions
 
@@ -66,24 +65,15 @@ def signatures(h: np.ndarray, offsets: np.ndarray, k: int = COORDINATES) -> np.n
     return out
 
 
-def _describe(frames):
-    for pdf in frames:
-        for part in text_chunks(pdf):
-            h, off, b = shingle_sets(part["text"].tolist())
-            sig = signatures(h, off)
-            keys = sig + (np.arange(COORDINATES, dtype=np.int64) << 33)
-            digest = []
-            for i in range(len(part)):
-                words = b.data[b.offset[i] : b.offset[i + 1] - 1].split()
-                digest.append(hashlib.sha256(b" ".join(words)).digest()[:16])
-            yield pd.DataFrame(
-                {
-                    "doc_id": part["doc_id"].to_numpy(),
-                    "digest": digest,
-                    "n_shingles": np.diff(off),
-                    "keys": list(keys),
-                }
-            )
+def _describe(batches):
+    for part in text_chunks(batches):
+        h, off, b = shingle_sets(part.column("text").to_pylist())
+        keys = signatures(h, off) + (np.arange(COORDINATES, dtype=np.int64) << 33)
+        ends = b.offset.tolist()
+        digest = [hashlib.sha256(b" ".join(b.data[lo : hi - 1].split())).digest()[:16] for lo, hi in zip(ends, ends[1:])]
+        lists = list_array(keys.ravel(), np.full(len(keys), COORDINATES))
+        arrays = [part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(np.diff(off)), lists]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "n_shingles", "keys"])
 
 
 def _meet(batches):
@@ -201,7 +191,7 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     desc = checkpoint(
-        docs.mapInPandas(_describe_nullable, "doc_id long, digest binary, n_shingles long, keys array<long>")
+        docs.mapInArrow(_describe, "doc_id long, digest binary, n_shingles long, keys array<long>")
     )
     classes = (
         desc.where("n_shingles > 0 and doc_id is not null")
@@ -270,12 +260,6 @@ def minhash_components(docs: DataFrame) -> DataFrame:
     return by_row.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _describe_nullable(frames):
-    for pdf in frames:
-        pdf = pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
-        yield from _describe([pdf])
-
-
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) without those whose component keeps another document.
 

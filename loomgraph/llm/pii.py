@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,26 +168,24 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     of a span, null without spans. Other columns are ignored; repeated rows each count.
     """
 
-    def work(frames):
-        for pdf in frames:
-            for part in text_chunks(pdf):
-                rows = []
-                for text in part["text"]:
-                    spans = find_pii(text)
-                    said = [f"{k}:{s}:{e}" for k, s, e, _ in spans]
-                    base = ",".join(x for x, y in zip(said, spans) if y[0] in KINDS)
-                    n = [sum(y[0] == k for y in spans) for k in KINDS]
-                    digest = hashlib.sha256(base.encode()).hexdigest()
-                    rows.append((*n, digest, ",".join(said), min((y[3] for y in spans), default=None)))
-                names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "min_score"]
-                out = pd.DataFrame(rows, columns=names)
-                out["min_score"] = out["min_score"].astype("float64")
-                out.insert(0, "doc_id", part["doc_id"].astype("Int64").to_numpy())
-                yield out
+    def work(batches):
+        for part in text_chunks(batches):
+            columns = [[] for _ in range(len(KINDS) + 3)]
+            for text in part.column("text").to_pylist():
+                spans = find_pii(text)
+                said = [f"{k}:{s}:{e}" for k, s, e, _ in spans]
+                base = ",".join(x for x, y in zip(said, spans) if y[0] in KINDS)
+                n = [sum(y[0] == k for y in spans) for k in KINDS]
+                least = min((y[3] for y in spans), default=None)
+                for c, v in zip(columns, (*n, hashlib.sha256(base.encode()).hexdigest(), ",".join(said), least)):
+                    c.append(v)
+            kinds = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), pa.float64()]
+            arrays = [part.column("doc_id"), *map(pa.array, columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "min_score"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return src.mapInPandas(work, f"doc_id long, {counts}, base_sha256 string, spans string, min_score double")
+    return src.mapInArrow(work, f"doc_id long, {counts}, base_sha256 string, spans string, min_score double")
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
@@ -196,11 +194,15 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     A numeric column ``n_chars`` is brought up to date where there is one.
     """
 
-    @F.pandas_udf("string")
-    def masked(s: pd.Series) -> pd.Series:
-        return pd.Series([mask(x) for x in s], dtype=object)
+    src = docs.withColumn("text", F.col("text").cast("string"))
 
-    out = docs.withColumn("text", masked(F.col("text").cast("string")))
+    def work(batches):
+        for part in text_chunks(batches):
+            at = part.schema.get_field_index("text")
+            texts = pa.array([mask(x) for x in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:at], texts, *part.columns[at + 1 :]], part.schema.names)
+
+    out = src.mapInArrow(work, ", ".join(f"`{c}` {t}" for c, t in src.dtypes))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out

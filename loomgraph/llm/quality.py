@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.words import Batch, text_chunks
+from loomgraph.llm.words import Batch, list_array, text_chunks
 from loomgraph.runtime import checkpoint
 
 #: Random features, kernel width in standard deviations, ridge penalty for each training row.
@@ -98,14 +99,14 @@ def statistics(texts: list[str | None]) -> np.ndarray:
 def document_statistics(docs: DataFrame) -> DataFrame:
     """``doc_id, x`` (array of STATS) for each row of ``docs``."""
 
-    def work(frames):
-        for pdf in frames:
-            for part in text_chunks(pdf):
-                x = statistics(part["text"].tolist())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").to_numpy(), "x": list(x)})
+    def work(batches):
+        for part in text_chunks(batches):
+            x = statistics(part.column("text").to_pylist())
+            arrays = [part.column("doc_id"), list_array(x.ravel(), np.full(len(x), x.shape[1]))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "x"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInPandas(work, "doc_id long, x array<double>")
+    return src.mapInArrow(work, "doc_id long, x array<double>")
 
 
 class Model:
@@ -253,13 +254,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     train = checkpoint(stats.join(known, "doc_id").select("x", "y", "fold"))
     model = fit(train)
 
-    def scored(frames):
-        for pdf in frames:
-            if len(pdf):
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64").to_numpy(), "score": model.score(_matrix(pdf))})
+    def scored(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
     return (
-        stats.mapInPandas(scored, "doc_id long, score double")
+        stats.mapInArrow(scored, "doc_id long, score double")
         .withColumn("held_out", F.coalesce(fold_of() == 2, F.lit(False)))
         .withColumn("predicted", (F.col("score") >= BAR).cast("int"))
         .select("doc_id", "held_out", "score", "predicted")

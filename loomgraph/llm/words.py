@@ -6,9 +6,11 @@ numpy over the concatenated batch, so there is no per-word Python work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -130,10 +132,17 @@ class Batch:
         return at, h[at]
 
 
-def text_chunks(pdf, column: str = "text", limit: int = 4 << 20):
-    """Cut a pandas frame into runs of rows with about ``limit`` characters of text each."""
-    size = pdf[column].str.len().fillna(0).to_numpy(np.int64)
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
-    for lo, hi in zip([0, *cut], [*cut, len(pdf)]):
-        if hi > lo:
-            yield pdf.iloc[lo:hi]
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with about ``limit`` bytes of text each, which bounds a worker's memory."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.flatnonzero(np.diff(np.cumsum(size) // limit)) + 1
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
+def list_array(values: np.ndarray, lengths) -> pa.ListArray:
+    """Arrow lists of the given lengths over one flat array."""
+    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
