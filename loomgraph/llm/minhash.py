@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.grouping import forest, runs, whole_runs
@@ -263,7 +263,8 @@ def minhash_components(docs: DataFrame) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) without those whose component keeps another document.
 
-    One row survives of each component: rows that repeat a kept doc_id go too, except wordless ones.
+    One row survives of each component: of rows that share the kept doc_id the one with the smallest hash of its
+    text. Rows without a doc_id all stay, since nothing tells them apart.
     """
     keep = (
         minhash_components(docs)
@@ -271,4 +272,7 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
         .select(F.col("doc_id").alias("_kept_id"))
         .distinct()
     )
-    return docs.join(keep, docs["doc_id"] == keep["_kept_id"], "left_semi")
+    kept = docs.join(keep, docs["doc_id"].cast("long") == keep["_kept_id"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    kept = kept.withColumn("_copy", first).where("_copy = 1").drop("_copy")
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))

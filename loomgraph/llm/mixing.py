@@ -205,7 +205,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     joined = docs.withColumn("_words", words).join(
         takes,
-        (F.col("doc_id") == F.col("_id"))
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
         & F.col("source").cast("string").eqNullSafe(F.col("_source"))
         & (F.col("_words") == F.col("_size")),
     )

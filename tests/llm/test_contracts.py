@@ -444,7 +444,11 @@ def test_near_documents(spark, odd, none):
     want = plain_near([(r[0], r[1]) for r in ODD if r[0] is not None])
     assert {k: v for k, v in by.items() if k is not None} == want and by[None] == (1, None)
     assert minhash.minhash_components(none).count() == 0
-    assert minhash.near_duplicates_removed(odd).columns == odd.columns
+    left = minhash.near_duplicates_removed(odd)
+    assert left.columns == odd.columns
+    want_ids = sorted((k for k, (_, c) in want.items() if k == c)) + [None]
+    assert sorted((r["doc_id"] for r in left.collect()), key=lambda k: (k is None, k)) == want_ids
+    assert mixing.mix_documents(odd).where("doc_id is null").count() > 0
 
 
 def test_large_lists_and_clusters_in_blocks(spark, monkeypatch):
