@@ -381,3 +381,19 @@ def test_scalars(spark):
     assert v.where(X.one_edit(F.col("a"), F.col("b"))).count() == 3
     f = spark.createDataFrame([(10, "d/a"), (50, "d/b"), (70, "d/c")], "n_tokens int, path string")
     assert rows(packing.pack_tokens(f, 60)) == [("d/a", 0), ("d/b", 0), ("d/c", 1)]
+
+
+def test_sql_functions(spark):
+    from loomgraph.functions import udfs
+
+    udfs.register(spark)
+    assert spark.sql("select kg_norm_id('A-b C'), kg_norm_label('A-b  C'), round(kg_jaro_winkler('martha', 'marhta'), 4), round(kg_jaro('martha', 'marhta'), 4)").first()[:] == ("a_b_c", "a b c", 0.9611, 0.9444)
+    assert rows(spark.sql("select * from kg_headings('# A\n```\n# no\n```\n## B')")) == [(1, "A"), (2, "B")]
+    assert rows(spark.sql("select subject, object from kg_claims('`a` calls `b`.')")) == [("a", "b")]
+    assert rows(spark.sql("select * from kg_slices('ab\ncd\nef', 4)")) == [(0, "ab\n"), (1, "cd\n"), (2, "ef")]
+
+
+def test_overlay(spark):
+    o = spark.createDataFrame([("a", "a.py", "1"), ("b", "b.py", "2"), ("c", "c.py", "3")], "id string, source_file string, fingerprint string")
+    f = spark.createDataFrame([("a.py", "1"), ("b.py", "9")], "path string, hash string")
+    assert dict(rows(incremental.overlay_state(o, f))) == {"a": "fresh", "b": "stale", "c": "gone"}
