@@ -21,6 +21,8 @@ from loomgraph.runtime import checkpoint
 WEIGHTS, SHARE, PASSES = (5.0, 2.0, 1.0), 1.5, 2.0
 #: Blocks of each source (a power of two), output shards, and the seed of every permutation.
 BLOCKS, SHARDS, SEED = 256, 64, 7
+#: Words in a file of a shard, about: a shard of more is shuffled in so many parts.
+PART_WORDS = 20_000_000
 #: Sources that a mix may have: the plan holds SHARDS numbers for each.
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,6 +76,7 @@ class Plan:
     targets: DataFrame
     draws: DataFrame
     sizes: DataFrame
+    parts: int  # files of a shard
 
 
 def plan_mix(docs: DataFrame) -> Plan:
@@ -123,6 +126,7 @@ def plan_mix(docs: DataFrame) -> Plan:
         spark.createDataFrame(t, "rank int, source string, source_size long, target double"),
         spark.createDataFrame([tuple(r) for r in rows], "rank int, block int, turn int, words long, shard int"),
         sizes,
+        max(1, -(-round(sum(goal)) // (SHARDS * PART_WORDS))),
     )
 
 
@@ -215,4 +219,5 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     out = out.withColumn("_order", F.xxhash64("_id", "_turn", F.lit(SEED + 2)))
-    return out.repartition("_shard").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    part = F.pmod("_order", F.lit(plan.parts)).alias("_part")
+    return out.repartition(F.col("_shard"), part).sortWithinPartitions("_shard", "_order").select(*docs.columns)
