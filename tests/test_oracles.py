@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+import os
 
 import duckdb
 import pytest
@@ -9,7 +10,7 @@ import pytest
 from loomgraph.plans import queries as q
 from loomgraph.sources.star import TABLES
 
-BASE = "/root/testdata/sf0.001"
+BASE = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def plain(v):
