@@ -72,21 +72,20 @@ def graph_diff(old_nodes: DataFrame, old_edges: DataFrame, new_nodes: DataFrame,
     def keys(e: DataFrame) -> DataFrame:
         a, b = ("src", "dst") if directed else (F.least("src", "dst"), F.greatest("src", "dst"))
         a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-        return e.select(a.alias("a"), b.alias("b"), "relation").distinct()
+        return e.select(a.alias("a"), b.alias("b"), "relation")
 
     def ids(n: DataFrame) -> DataFrame:
-        return n.select(F.col("id").alias("a")).distinct()
+        return n.select(F.col("id").alias("a"))
 
     none = F.lit(None).cast("string")
-    parts = []
-    for change, x, y in (("added", new_nodes, old_nodes), ("removed", old_nodes, new_nodes)):
-        parts.append(ids(x).join(ids(y), "a", "left_anti").select(F.lit("node").alias("kind"), F.lit(change).alias("change"), "a", none.alias("b"), none.alias("relation")))
-    for change, x, y in (("added", new_edges, old_edges), ("removed", old_edges, new_edges)):
-        parts.append(keys(x).join(keys(y), ["a", "b", "relation"], "left_anti").select(F.lit("edge").alias("kind"), F.lit(change).alias("change"), "a", "b", "relation"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    tagged = None
+    for tag, n, e in ((1, old_nodes, old_edges), (2, new_nodes, new_edges)):
+        both = ids(n).select(F.lit("node").alias("kind"), "a", none.alias("b"), none.alias("relation"))
+        both = both.unionByName(keys(e).select(F.lit("edge").alias("kind"), "a", "b", "relation")).withColumn("tag", F.lit(tag))
+        tagged = both if tagged is None else tagged.unionByName(both)
+    # one shuffle: a key that both sides have carries both tags
+    sides = tagged.groupBy("kind", "a", "b", "relation").agg(F.bit_or("tag").alias("tag")).where("tag < 3")
+    return sides.select("kind", F.when(F.col("tag") == 2, "added").otherwise("removed").alias("change"), "a", "b", "relation")
 
 
 def diff_summary(diff: DataFrame) -> str:
@@ -100,19 +99,18 @@ def diff_summary(diff: DataFrame) -> str:
 
 
 def file_facts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``source_file, fact``: ids of a file's nodes, and its edges under both ends' files."""
+    """``source_file, fact``: ids of a file's nodes, and its edges under both ends' files; facts may repeat."""
     n = nodes.select("source_file", F.col("id").alias("fact"))
     e = enriched_edges(nodes, edges, "source_file")
     fact = F.concat_ws("|", "src", "relation", "dst")
     e = e.select(F.explode(F.array_distinct(F.array("src_source_file", "dst_source_file"))).alias("source_file"), fact.alias("fact"))
-    return n.unionByName(e).distinct()
+    return n.unionByName(e)
 
 
 def changed_files(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> DataFrame:
     """``source_file``: files whose sets of facts differ between two (nodes, edges) snapshots."""
-    a, b = file_facts(*old), file_facts(*new)
-    keys = ["source_file", "fact"]
-    return a.join(b, keys, "left_anti").unionByName(b.join(a, keys, "left_anti")).select("source_file").distinct()
+    both = file_facts(*old).withColumn("tag", F.lit(1)).unionByName(file_facts(*new).withColumn("tag", F.lit(2)))
+    return both.groupBy("source_file", "fact").agg(F.bit_or("tag").alias("tag")).where("tag < 3").select("source_file").distinct()
 
 
 def contract_check(changed: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -14,6 +14,14 @@ IMPACT = ("calls", "indirect_call", "imports", "imports_from", "references", "us
 MEMBERS = ("method", "contains")
 
 
+def dealt(steps: DataFrame) -> DataFrame:
+    """Steps kept by their start for all levels of a walk: only frontiers are shuffled then.
+
+    A lost executor's part is computed again from its lineage. The walk's own results are checkpointed.
+    """
+    return steps.repartition("a").persist()
+
+
 def walk(steps: DataFrame, seeds: DataFrame, max_depth: int, blocked: DataFrame | None = None, track: bool = False) -> DataFrame:
     """``id, depth`` (and ``parent, relation`` with ``track``) first reached from ``seeds`` (id) along ``steps``.
 
@@ -21,6 +29,7 @@ def walk(steps: DataFrame, seeds: DataFrame, max_depth: int, blocked: DataFrame
     seeds. Among several ways to a node at its first depth the smallest (relation, parent) counts.
     """
     cols = ["id", "depth"] + (["relation", "parent"] if track else [])
+    steps = dealt(steps)
     null = F.lit(None).cast("string")
     seen = checkpoint(seeds.select("id", F.lit(0).alias("depth"), null.alias("relation"), null.alias("parent")).distinct())
     front = seen.select("id")
@@ -34,6 +43,7 @@ def walk(steps: DataFrame, seeds: DataFrame, max_depth: int, blocked: DataFrame
             break
         seen = checkpoint(seen.unionByName(new))
         front = new.select("id")
+    steps.unpersist()
     return seen.select(*cols)
 
 
@@ -70,7 +80,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
 
     All pairs go forward together: a frontier row is (pair's source, node), pairs that are found leave.
     """
-    steps = both_directions(edges.select("src", "dst")).distinct()
+    steps = dealt(both_directions(edges.select("src", "dst")).distinct())
     seen = checkpoint(pairs.select(F.col("src").alias("origin"), F.col("src").alias("id")).distinct())
     open_ = checkpoint(pairs.select("src", "dst").distinct())
     found = open_.where("src = dst").select("src", "dst", F.lit(0).alias("hops"))
@@ -87,6 +97,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
             break
         seen = checkpoint(seen.unionByName(new))
         front = new
+    steps.unpersist()
     return found
 
 
