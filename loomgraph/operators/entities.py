@@ -91,13 +91,23 @@ def minhash_bands(labels: DataFrame) -> DataFrame:
 
 def shingle_pairs(labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``a, b, jaccard`` of distinct labels by exact trigram sets: the certain twin of the sketch."""
-    grams = labels.select("label", F.explode(T.trigrams(F.lower("label"))).alias("g")).distinct()
-    size = grams.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    x = grams.select(F.col("label").alias("a"), "g")
-    y = grams.select(F.col("label").alias("b"), "g")
-    both = x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    j = both.join(size.select(F.col("label").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("label").alias("b"), F.col("n").alias("nb")), "b")
-    return j.select("a", "b", F.round(F.col("k") / (F.col("na") + F.col("nb") - F.col("k")), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    own = labels.select("label").distinct().withColumn("gs", T.trigrams(F.lower("label"))).withColumn("n", F.size("gs"))
+    grams = own.select("label", "n", F.explode("gs").alias("g"))
+    df = grams.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Two sets as alike as the threshold share one of the rarest n - ceil(t * n) + 1 grams of each, so that
+    # only those meet; grams that nobody else has come first in that order and need no row.
+    ranked = grams.join(df, "g").groupBy("label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("r"))
+    t = threshold - 1e-6
+    length = F.col("n") - F.ceil(F.lit(t) * F.col("n")) + 1 - (F.col("n") - F.size("r"))
+    prefix = ranked.select("label", "n", F.explode(F.slice("r", F.lit(1), F.greatest(F.lit(0), length.cast("int")))).alias("p")).select("label", "n", F.col("p.g").alias("g"))
+    x = prefix.select(F.col("label").alias("a"), F.col("n").alias("na"), "g")
+    y = prefix.select(F.col("label").alias("b"), F.col("n").alias("nb"), "g")
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb"))
+    cand = x.join(y, "g").where(fits).select("a", "b").distinct()
+    sets = own.select("label", "gs")
+    j = cand.join(sets.select(F.col("label").alias("a"), F.col("gs").alias("ga")), "a").join(sets.select(F.col("label").alias("b"), F.col("gs").alias("gb")), "b")
+    k = F.size(F.array_intersect("ga", "gb"))
+    return j.select("a", "b", F.round(k / (F.size("ga") + F.size("gb") - k), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def guarded(a: Column, b: Column, score: Column, same_file: Column) -> Column:
