@@ -20,6 +20,8 @@ from loomgraph.runtime import checkpoint
 FEATURES, WIDTH, PENALTY = 256, 4.0, 1e-3
 #: Bins of raw scores for the isotonic fit, and the share of partial sums merged in one go.
 BINS, FAN_IN = 2048, 64
+#: Partial sums at most, so that a merge of one FAN_IN-th of them stays small.
+MAX_PARTIALS = 1024
 SEED = 20240229
 #: Score at which a document counts as good.
 BAR = 0.7
@@ -197,6 +199,7 @@ def fit(train: DataFrame) -> Model:
     fitted = train.where("fold <> 3")
     parts = (
         fitted.select("x", "y")
+        .coalesce(MAX_PARTIALS)
         .mapInPandas(_partials(model), "slot int, s binary")
         .withColumn("slot", F.expr(f"cast(pmod(xxhash64(s), {FAN_IN}) as int)"))
         .groupBy("slot")
