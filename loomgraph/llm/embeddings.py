@@ -75,15 +75,22 @@ def buckets(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaling first keeps squares from overflowing."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def _links(batches):
-    """From rows (bucket, bi, bj, half, rep, n, unit, codes): counts and a forest, by block pair."""
+    """From rows (bucket, bi, bj, half, rep, n, e, codes): counts and a forest, by block pair."""
     for t in runs(batches, ["bucket", "bi", "bj"]):
         bucket = t["bucket"][0].as_py()
         rep, half, n = t["rep"].to_numpy(), t["half"].to_numpy(), t["n"].to_numpy()
         m = len(rep)
         if m < 2:
             continue
-        x = t["unit"].combine_chunks().flatten().to_numpy().reshape(m, -1)
+        x = unit(t["e"].combine_chunks().flatten().to_numpy().reshape(m, -1))
         codes = t["codes"].combine_chunks().flatten().to_numpy().reshape(m, TABLES * PROBES)
         # Of a vector with two probes in one bucket only one row is dealt (see near_vectors).
         same = t["bi"][0].as_py() == t["bj"][0].as_py()
@@ -98,11 +105,11 @@ def _links(batches):
         if not len(i):
             continue
         keep = np.empty(len(i), bool)
-        for lo in range(0, len(i), 65536):
-            a, b = codes[i[lo : lo + 65536]], codes[j[lo : lo + 65536]]
+        for lo in range(0, len(i), 16384):
+            a, b = codes[i[lo : lo + 16384]], codes[j[lo : lo + 16384]]
             # the least shared bucket is the one that counts the pair
             both = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
-            keep[lo : lo + 65536] = both == bucket
+            keep[lo : lo + 16384] = both == bucket
         i, j = i[keep], j[keep]
         if not len(i):
             continue
@@ -137,30 +144,32 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         " and exists(e, v -> v <> 0)"
     )
     rows = src.select("vec_id", F.when(F.col("vec_id").isNotNull() & good, F.expr("transform(e, v -> v + 0.0D)")).alias("e"))
+    # Single-precision input goes back to single precision, without loss, wherever it is shuffled.
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = rows.withColumn("e", F.col("e").cast(f"array<{kind}>"))
     classes = checkpoint(rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
 
     def hashed(frames):
         for pdf in frames:
             length = pdf["e"].map(len)
             for _, part in pdf.groupby(length):
-                x = np.stack(part["e"].to_numpy())
-                peak = np.abs(x).max(1, keepdims=True)
-                x = x / peak  # no overflow in the squares
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                codes = buckets(x).reshape(len(x), -1)
-                codes = (mix(codes + U(x.shape[1])) >> U(1)).astype(np.int64)
-                yield pd.DataFrame(
-                    {"rep": part["rep"].to_numpy(), "n": part["n"].to_numpy(), "unit": list(x), "codes": list(codes)}
-                )
-
-    codes = checkpoint(classes.mapInPandas(hashed, "rep long, n long, unit array<double>, codes array<long>"))
-    posts = codes.select(F.explode(F.array_distinct("codes")).alias("bucket"))
+                step = max(1, (1 << 20) // len(part["e"].iloc[0]))
+                for lo in range(0, len(part), step):
+                    few = part.iloc[lo : lo + step]
+                    x = np.stack(few["e"].to_numpy())
+                    codes = buckets(unit(x)).reshape(len(x), -1)
+                    codes = (mix(codes + U(x.shape[1])) >> U(1)).astype(np.int64)
+                    yield pd.DataFrame({"rep": few["rep"], "n": few["n"], "e": few["e"], "codes": list(codes)})
+
+    codes = classes.mapInPandas(hashed, f"rep long, n long, e array<{kind}>, codes array<long>")
+    codes = checkpoint(codes.withColumn("cid", F.monotonically_increasing_id()))
+    posts = codes.select("cid", F.explode(F.array_distinct("codes")).alias("bucket"))
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    dealt = (
-        codes.withColumn("bucket", F.explode(F.array_distinct("codes")))
-        .join(sizes, "bucket")
+    # Only ids are placed in buckets; the vectors join them afterwards and are dealt once.
+    placed = (
+        posts.join(sizes, "bucket")
         .withColumn("nb", F.expr(f"cast(ceil(m / {BLOCK}) as int)"))
-        .withColumn("own", F.expr("cast(pmod(xxhash64(unit), nb) as int)"))
+        .withColumn("own", F.expr("cast(pmod(xxhash64(cid, bucket), nb) as int)"))
         .withColumn(
             "p",
             F.expr(
@@ -168,8 +177,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
                 " cast(o < own as int) as half)))"
             ),
         )
-        .select("bucket", "p.bi", "p.bj", "p.half", "rep", "n", "unit", "codes")
+        .select("cid", "bucket", "p.bi", "p.bj", "p.half")
     )
+    dealt = placed.join(codes, "cid").select("bucket", "bi", "bj", "half", "rep", "n", "e", "codes")
     found = checkpoint(
         dealt.repartition(n, "bucket", "bi", "bj")
         .sortWithinPartitions("bucket", "bi", "bj")
