@@ -198,22 +198,22 @@ def minhash_components(docs: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     )
-    classes = checkpoint(classes)
-    posts = classes.select("rep", "digest", F.explode("keys").alias("key"))
+    classes = checkpoint(classes.withColumn("cid", F.monotonically_increasing_id()))
+    posts = classes.select("cid", F.explode("keys").alias("key"))
     lists = posts.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     live = posts.join(lists, "key")
     # The prefix: coordinates that nobody shares come first in the order, then the rarest lists.
     prefix = COORDINATES - AGREE + 1
     ranked = (
-        live.groupBy("digest")
+        live.groupBy("cid")
         .agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("p"))
         .where(F.size("p") >= AGREE)
-        .select("digest", F.explode(F.expr(f"slice(p, 1, greatest(0, {prefix} - ({COORDINATES} - size(p))))")).alias("p"))
-        .select("digest", "p.key", "p.df")
+        .select("cid", F.explode(F.expr(f"slice(p, 1, greatest(0, {prefix} - ({COORDINATES} - size(p))))")).alias("p"))
+        .select("cid", "p.key", "p.df")
     )
     nb = f"cast(ceil(df / {LIST_BLOCK}) as int)"
     dealt = (
-        ranked.join(classes, "digest")
+        ranked.join(classes, "cid")
         .withColumn("nb", F.expr(nb))
         .withColumn("own", F.expr("cast(pmod(xxhash64(rep, key), nb) as int)"))
         .withColumn("p", F.explode(_block_pairs("nb", "own")))
