@@ -504,7 +504,7 @@ def pr_conflicts(spark, sf):
 @query()
 def community_detection(spark, sf):
     n, e = kg(spark, sf)
-    return community.detect(n, e)
+    return community.cluster(n, e)
 
 
 @query()

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
 from loomgraph.operators import analysis, community, components, entities, graph, history, incremental, iterate, packing, search, verification
+from loomgraph.plans import graph_queries
 from loomgraph.sinks import export
 from loomgraph.sources import extract
 from loomgraph.streaming import changes
 
+TINY = "/root/testdata/sf0.001"
 NODES = "id string, label string, file_type string, source_file string, community int"
 EDGES = "src string, dst string, relation string, confidence string, context string"
 
@@ -190,6 +192,35 @@ def test_cohesion_and_detection(spark):
     assert community.split_members(m, e, 9, min_size=3, share=0.1).count() == 9
 
 
+def test_detection_is_whole(spark):
+    path = [f"p{i:02}" for i in range(60)]
+    star = [f"s{i:02}" for i in range(60)]
+    n, e = make(spark, [(c, c) for c in path + star], [(a, b, "calls") for a, b in zip(path, path[1:])] + [("s00", c, "calls") for c in star[1:]])
+    with pytest.raises(RuntimeError):
+        community.detect(n, e, rounds=1, here=0)
+    one = n.select("id", F.ascii("id").alias("community"))
+    by = {}
+    for r in community.split_loose(one, e).collect():
+        by.setdefault(r["community"], set()).add(r["id"])
+    assert set(star) in by.values() and len(by) > 4
+    assert community.modularity(e, community.detect(n, e)) > 0.6
+    assert not [r for r in community.cluster(n, e).groupBy("community").count().collect() if r["count"] > 30 and r["count"] != 60]
+
+
+def test_detection_by_rounds(spark):
+    n, e = make(spark, [(c, c) for c in "abcxyz"], [(*p, "calls") for p in ("ab", "bc", "ac", "xy", "yz", "xz", "cx")])
+    groups = community.detect(n, e, here=0).groupBy("community").agg(F.array_join(F.array_sort(F.collect_list("id")), "").alias("g"))
+    assert {r["g"] for r in groups.collect()} == {"abc", "xyz"}
+
+
+def test_registered_detection_splits_loose_communities(spark):
+    n, e = graph_queries.kg(spark, TINY)
+    whole = graph_queries.community_detection(spark, TINY)
+    fine = whole.join(community.detect(n, e).withColumnRenamed("community", "parent"), "id").persist()
+    assert fine.groupBy("community").agg(F.count_distinct("parent").alias("k")).where("k > 1").count() == 0
+    assert fine.select("community").distinct().count() > fine.select("parent").distinct().count()
+
+
 def test_cycles(spark):
     _, e = make(spark, [("a",)], [("a", "b", "x"), ("b", "a", "x"), ("b", "c", "x"), ("c", "a", "x"), ("d", "d", "x")])
     assert rows(iterate.bounded_cycles(e), "length", "cycle") == [(1, "d"), (2, "a>b"), (3, "a>b>c")]
