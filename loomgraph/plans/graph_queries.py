@@ -510,8 +510,7 @@ def community_detection(spark, sf):
 @query()
 def betweenness_sampled(spark, sf):
     n, e = kg(spark, sf)
-    # the pivots are the sample that the operator is about
-    return iterate.betweenness(n, e, pivots=16)
+    return iterate.betweenness(n, e)
 
 
 @query()

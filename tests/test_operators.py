@@ -221,6 +221,14 @@ def test_registered_detection_splits_loose_communities(spark):
     assert fine.select("community").distinct().count() > fine.select("parent").distinct().count()
 
 
+def test_registered_betweenness_has_all_pivots(spark, monkeypatch):
+    def pivots(nodes, edges, pivots=100, **more):
+        return pivots
+
+    monkeypatch.setattr(iterate, "betweenness", pivots)
+    assert graph_queries.betweenness_sampled(spark, TINY) == 100
+
+
 def test_cycles(spark):
     _, e = make(spark, [("a",)], [("a", "b", "x"), ("b", "a", "x"), ("b", "c", "x"), ("c", "a", "x"), ("d", "d", "x")])
     assert rows(iterate.bounded_cycles(e), "length", "cycle") == [(1, "d"), (2, "a>b"), (3, "a>b>c")]
