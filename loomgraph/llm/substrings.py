@@ -5,8 +5,12 @@ a count-min table, sent as Rice-coded sorted lists to the shards of the table, w
 blocks up and tell each block which of its cells are hit by another block too. Estimates never fall below the true
 count, so a window that occurs twice is always let by. Those windows go, as 128-bit digests with
 the document they start in, to a second set of shards that group them exactly and answer, again by
-block, which of them start earlier elsewhere. Traffic is a few bytes a window, whatever the size of the corpus;
-no sketch is ever held in one place.
+block, which of them start earlier elsewhere. Traffic is a few bytes a window; no sketch is ever held in one
+place.
+
+Windows are told apart by two independent 64-bit hashes of their words (see ``words.word_hashes``). Among n
+distinct windows any two share a digest with a probability of about n * n / 2**129: 1e-13 for 1e13 windows, which
+is some 60 TB of text.
 """
 
 from __future__ import annotations
@@ -22,8 +26,19 @@ from loomgraph.llm.words import Batch, U, mix
 
 #: Words in a window; rows of the count-min table, and its cells for each word of the corpus.
 WINDOW, ROWS, LOAD = 20, 2, 4
-#: Bytes of text in a block, cells of a shard of the table, windows of a shard of the exact pass.
-BLOCK_BYTES, SHARD_CELLS = 8 << 20, 1 << 24
+#: Bytes of text in a block, cells of a shard of the table, and bytes of text for each shard of the exact pass, which
+#: gets at most one window a word.
+BLOCK_BYTES, SHARD_CELLS, EXACT_BYTES = 8 << 20, 1 << 24, 8 << 20
+#: Every block writes to every shard: beyond so many (block, shard) messages shards grow, up to MOST_CELLS.
+MESSAGES, MOST_CELLS = 10_000_000, 1 << 28
+
+
+def shard_size(blocks: int, cells: int) -> int:
+    """Cells of a shard that keep blocks x shards within MESSAGES, as far as MOST_CELLS allows."""
+    size = SHARD_CELLS
+    while size < MOST_CELLS and blocks * ROWS * -(-cells // size) > MESSAGES:
+        size *= 2
+    return size
 
 
 def pack(sorted_ids: np.ndarray) -> bytes:
@@ -61,7 +76,7 @@ class _Block:
     """The windows of one block, its documents in the order of their ids."""
 
     def __init__(self, pdf: pd.DataFrame, cells: int, shard_cells: int) -> None:
-        self.pdf = pdf.sort_values(["doc_id"], kind="stable", na_position="last")
+        self.pdf = pdf.sort_values(["doc_id", "text"], kind="stable", na_position="last")
         self.batch = Batch(self.pdf["text"].tolist())
         self.at, self.h = self.batch.windows(WINDOW)
         self.cells, self.shard_cells = cells, shard_cells
@@ -111,16 +126,18 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept``, the words left) for each row of ``docs``.
 
     A word goes if a window of 20 words covers it whose words also start earlier: in a smaller doc_id,
-    or earlier in the same document; of rows that share a doc_id the first in the block's order counts as
-    earlier. A null text has no words. A null doc_id comes after all others. Other columns are ignored.
+    or earlier in the same document. Rows that share a doc_id follow each other in a fixed order that depends on
+    their texts alone, whatever the partitioning. A null text has no words. A null doc_id comes after all others.
+    An empty table gives no rows. Other columns are ignored.
     """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
-    cells, shard_cells = max(1024, LOAD * (total // 5)), SHARD_CELLS
-    src = src.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id), {blocks}) as int)"))
-    # The exact pass gets at most as many windows as there are words.
-    exact_shards = max(1, -(-total // (64 << 20)))
+    cells = max(1024, LOAD * (total // 5))
+    shard_cells = shard_size(blocks, cells)
+    # The text is part of the hash so that rows without an id, or of one id, don't all meet in a block.
+    src = src.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {blocks}) as int)"))
+    exact_shards = max(1, -(-total // EXACT_BYTES))
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iloc[0])
@@ -167,8 +184,8 @@ def repeated_windows_removed(docs: DataFrame, keep_text: bool = False) -> DataFr
         kind = [("a", "<u8"), ("b", "<u8")]
         d = np.concatenate([np.frombuffer(x, kind, n) for x, n in zip(pdf["data"], pdf["n"])])
         ids = np.concatenate([np.frombuffer(x, "<i8", n, 16 * n) for x, n in zip(pdf["data"], pdf["n"])])
-        # a document is in one block only, so no two entries of a digest tie
-        order = np.lexsort((ids, d["b"], d["a"]))
+        block = np.repeat(pdf["block"].to_numpy(), pdf["n"].to_numpy())  # rows that share a doc_id may be in several
+        order = np.lexsort((block, ids, d["b"], d["a"]))
         again = np.zeros(len(d), bool)
         a, b = d["a"][order], d["b"][order]
         again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])

@@ -1,12 +1,14 @@
 """Vectorised words, word hashes and window hashes over batches of whole texts.
 
-A word is a run of bytes other than space and U+0009..U+000D. All hashing is 64-bit and runs in
-numpy over the concatenated batch, so there is no per-word Python work.
+A word is a run of bytes other than space and U+0009..U+000D. Hashing runs in numpy over the
+concatenated batch; only words of more than 64 bytes are hashed one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +16,9 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _M1, _M2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
-_PRIME = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Bytes of text hashed in one go; a longer single word grows the power table for itself only.
+#: Bytes of text split into words in one go.
 CHUNK = 1 << 20
 
 
@@ -28,26 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(_PRIME))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U(base))
-    out[:1] = U(1)
-    return np.multiply.accumulate(out)
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = CHUNK + 1
-    if n < size:
-        if not _tables:
-            _tables["p"] = _powers(_PRIME, size)
-            _tables["q"] = _powers(pow(_PRIME, -1, 1 << 64), size)
-        return _tables["p"], _tables["q"]
-    return _powers(_PRIME, n + 1), _powers(pow(_PRIME, -1, 1 << 64), n + 1)
+#: Masks of the first k bytes of a lane, and the seeds of the two independent word hashes.
+_LANE = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_SEEDS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F))
+#: Bytes of a word that are hashed lane by lane; longer words go through BLAKE2b.
+SHORT = 64
 
 
 def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
@@ -69,28 +55,42 @@ def _pieces(data: bytes) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_table(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, 64-bit hash) of each word of ``data``."""
-    parts = []
+def word_bounds(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each word of ``data``."""
+    parts = [(np.zeros(0, np.int64),) * 2]
     for lo, hi in _pieces(data):
-        b = np.frombuffer(data, np.uint8, hi - lo, lo)
-        ink = np.zeros(len(b) + 2, np.int8)
-        ink[1:-1] = ~_SPACE[b]
+        ink = np.zeros(hi - lo + 2, np.int8)
+        ink[1:-1] = ~_SPACE[np.frombuffer(data, np.uint8, hi - lo, lo)]
         step = np.diff(ink)
-        start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        if not len(start):
-            continue
-        p, q = _power_tables(len(b))
-        acc = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * p[: len(b)], out=acc[1:])
-        h = (acc[end] - acc[start]) * q[start] + (end - start).astype(np.uint64)
-        parts.append((start + lo, end + lo, mix(h)))
-    if not parts:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
+        parts.append((np.flatnonzero(step == 1) + lo, np.flatnonzero(step == -1) + lo))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """One of two independent 64-bit hashes of the words of ``data``.
+
+    A word of at most SHORT bytes is read as lanes of eight bytes, each folded into a state that the
+    non-linear finaliser then permutes: words of up to eight bytes of one length can't collide. A longer word's
+    hash is half of its BLAKE2b digest, so no structure of a word carries over to its hash.
+    """
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=data + bytes(8), strides=(1,))
+    size = end - start
+    out = _SEEDS[which] * (size.astype(np.uint64) + U(1))
+    at, left = slice(None), size
+    for k in range(SHORT // 8):
+        if k:
+            at = np.flatnonzero(size > 8 * k)
+            if not len(at):
+                break
+            left = size[at] - 8 * k
+        x = lanes[start[at] + 8 * k] & _LANE[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ x) if not which else (out[at] + x) * _SEEDS[1])
+    for i in np.flatnonzero(size > SHORT).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * which : 8 * which + 8], "little")
+    return out
+
+
 def windows(h: np.ndarray, width: int, salt: int = 0) -> np.ndarray:
     """Order-sensitive hash of each run of ``width`` consecutive word hashes."""
     n = len(h) - width + 1
@@ -120,14 +120,29 @@ class Batch:
         self.data = data.lower() if lower else data  # bytes.lower() touches A-Z only
         size = np.fromiter((len(x) + 1 for x in raw), np.int64, len(raw))
         self.offset = np.concatenate(([0], np.cumsum(size)))
-        self.start, self.end, self.hash = word_table(self.data)
+        self.start, self.end = word_bounds(self.data)
+        self.hash = word_hashes(self.data, self.start, self.end)
         self.doc = np.searchsorted(self.offset, self.start, "right") - 1
         self.n_words = np.bincount(self.doc, minlength=len(raw))
         self.first = np.concatenate(([0], np.cumsum(self.n_words)))
 
+    @cached_property
+    def second(self) -> np.ndarray:
+        """The other hash of each word, independent of ``hash``."""
+        return word_hashes(self.data, self.start, self.end, 1)
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """A number for each word that only equal words share; nothing is hashed to tell words apart."""
+        seen: dict[bytes, int] = {}
+        return np.fromiter((seen.setdefault(w, len(seen)) for w in self.data.split()), np.int64, len(self.start))
+
     def windows(self, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of each window that lies within one text."""
-        h = windows(self.hash, width, salt)
+        """(index of the first word, hash) of each window that lies within one text.
+
+        Salts 0 and 1 take independent hashes of the words, so that both together are 128 bits wide.
+        """
+        h = windows(self.second if salt == 1 else self.hash, width, salt)
         at = np.flatnonzero(self.doc[: len(h)] == self.doc[width - 1 :][: len(h)])
         return at, h[at]
 
