@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, pii, quality, substrings, urlfilter
+from loomgraph.llm import bpe, embeddings, fingerprints, licenses, minhash, mixing, pii, quality, substrings, urlfilter, words
 from loomgraph.llm import queries as q
 
 TINY = "/root/testdata/sf0.001"
@@ -295,6 +295,58 @@ def test_repeated_windows(spark, odd, none):
     assert substrings.repeated_windows_removed(none).count() == 0
 
 
+def thue_morse(n):
+    """Two words of n letters that collide under every polynomial hash modulo 2**64 once n reaches 1024."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes(spark, n):
+    a, b = thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(25))
+    pairs = [(1, f"{a} {tail}"), (2, f"{b} {tail}")]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    mine = substrings.repeated_windows_removed(df).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in mine} == plain_windows(pairs)
+    assert sorted(r["n_removed"] for r in mine) == [0, 25]
+    words_ = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash.minhash_components(words_).collect())
+
+
+def test_word_hashes_tell_words_apart():
+    words_ = [bytes([c]) * k for c in b"ab" for k in range(1, 200)] + [thue_morse(1 << k)[i].encode() for k in range(1, 13) for i in (0, 1)]
+    words_ = sorted(set(words_) | {b"x" * 8 + w for w in words_} | {w + b"x" * 8 for w in words_})
+    data = b" ".join(words_)
+    start, end = words.word_bounds(data)
+    assert [data[i:j] for i, j in zip(start, end)] == words_
+    one, two = (words.word_hashes(data, start, end, k) for k in (0, 1))
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(words_)
+    assert len(set((one ^ two).tolist())) == len(words_)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7])
+def test_rows_of_one_id_in_a_fixed_order(spark, parts, monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 200)
+    tail = " ".join(f"w{i}" for i in range(25))
+    rows = [(3, f"{k} {tail}") for k in range(6)] + [(None, f"n{k} {tail}") for k in range(6)] + [(3, f"0 {tail}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    out = substrings.repeated_windows_removed(df).collect()
+    assert len(out) == len(rows) and sum(r["n_removed"] == 0 for r in out) == 1
+    now = sorted((str(r["doc_id"]), r["kept_sha256"], r["n_removed"]) for r in out)
+    assert ORDERS.setdefault("rows", now) == now
+
+
+ORDERS = {}
+
+
+def test_shards_grow_with_the_corpus():
+    assert substrings.shard_size(64, 4 * 10**8) == substrings.SHARD_CELLS
+    blocks, cells = 10**5, 8 * 10**11
+    size = substrings.shard_size(blocks, cells)
+    assert size == substrings.MOST_CELLS
+
+
 def test_many_blocks_and_shards(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK_BYTES", 20_000)
     monkeypatch.setattr(substrings, "SHARD_CELLS", 1 << 16)
@@ -451,9 +503,14 @@ def test_near_documents(spark, odd, none):
     assert mixing.mix_documents(odd).where("doc_id is null").count() > 0
 
 
-def test_large_lists_and_clusters_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("star", [0, 4, 256])
+def test_large_lists_and_clusters_in_blocks(spark, monkeypatch, star):
     monkeypatch.setattr(minhash, "LIST_BLOCK", 8)
     monkeypatch.setattr(minhash, "SET_BLOCK", 300)
+    if star:
+        monkeypatch.setattr(minhash, "STAR", star)
+    else:  # pass one finds nothing: every link is left to the lists
+        monkeypatch.setattr(minhash, "_stars", lambda ranked: ranked.selectExpr("rep as unit", "0 as part", "rep", "0L as half"))
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(60)]
     pairs = []
@@ -467,6 +524,37 @@ def test_large_lists_and_clusters_in_blocks(spark, monkeypatch):
     assert mine == plain_near(pairs)
 
 
+def test_a_chain_of_half_similar_documents_is_linear(spark, monkeypatch):
+    """Neighbours share half of their shingles: none link, and the texts compared grow with the chain."""
+    seen = []
+    plain = minhash._confirmed
+    monkeypatch.setattr(minhash, "_confirmed", lambda units, texts: seen.append(units.count()) or plain(units, texts))
+    counts = {}
+    for n in (300, 1200):
+        seen.clear()
+        text = [" ".join(f"w{i * 32 + k}" for k in range(100)) for i in range(n)]
+        df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+        out = minhash.minhash_components(df).collect()
+        assert len(out) == n and all(r["kept"] and r["n_shingles"] == 96 for r in out)
+        counts[n] = sum(seen)
+    assert counts[300] > 300 and counts[1200] < 4.6 * counts[300] and counts[1200] < 10 * 1200
+
+
+def test_exact_sets_are_the_shingles():
+    texts = ["a b c d e f", "A b c D e f g", "", None, "a b", "a  b", "b a", "x " * 9, "a b c d e f a b c d e f"]
+    h, off = minhash.exact_sets(texts)
+    sets = [shingles(t, lower=True) for t in texts]
+    mine = [set(h[i:j].tolist()) for i, j in zip(off, off[1:])]
+    assert [len(s) for s in mine] == [len(s) for s in sets]
+    assert all(len(mine[i] & mine[j]) == len(sets[i] & sets[j]) for i in range(len(texts)) for j in range(len(texts)))
+
+
+def test_deduplication_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "p", "q"), (2, "a b c d e f", "r", "s")], "doc_id long, text string, _copy string, _kept_id string")
+    left = minhash.near_duplicates_removed(df)
+    assert left.columns == df.columns and [tuple(r) for r in left.collect()] == [(1, "a b c d e f", "p", "q")]
+
+
 # pipeline -----------------------------------------------------------------------------------------
 
 
