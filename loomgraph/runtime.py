@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -25,24 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``.
+def _shared_folder(df: DataFrame) -> str:
+    """The session's checkpoint folder; the setting is read where no folder has been set yet.
 
-    Only where the session names none (unit tests) a temporary folder is used.
+    A temporary folder serves only where driver and executors are one process. On a cluster without the
+    setting there is no folder that all of them see, and this raises.
     """
-    ensure_importable(df.sparkSession)
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomgraph-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomgraph-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder named by ``spark.checkpoint.dir``."""
+    ensure_importable(df.sparkSession)
+    _shared_folder(df)
     return df.checkpoint(eager=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared checkpoint folder and read it back."""
-    checkpoint(df.limit(0))  # makes sure of the folder
-    sc = df.sparkSession.sparkContext
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """Write ``df`` as Parquet into the shared checkpoint folder and read it back; the session's end removes it."""
+    ensure_importable(df.sparkSession)
+    path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    jvm = df.sparkSession.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return df.sparkSession.read.parquet(path)
 
 
