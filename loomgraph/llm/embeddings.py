@@ -22,8 +22,9 @@ from loomgraph.runtime import checkpoint, shuffle_partitions
 
 #: Least cosine of a link; tables; vertices to a table; buckets that a vector joins in each table.
 COSINE, TABLES, VERTICES, PROBES = 0.9, 12, 2, 3
-#: Vectors of a bucket that meet in one task.
-BLOCK = 1024
+#: Vectors of a bucket's block, two of which meet in one task, and rows of a block multiplied at a time. A bucket of m
+#: vectors deals each out m / BLOCK times; counting its links takes all its pairs in any case.
+BLOCK, STRIP = 4096, 512
 SEED = 11
 
 
@@ -83,42 +84,42 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _links(batches):
-    """From rows (bucket, bi, bj, half, rep, n, e, codes): counts and a forest, by block pair."""
+    """From rows (bucket, bi, bj, half, cid, rep, n, e, codes): counts by class and a forest of ids, by block pair."""
     for t in runs(batches, ["bucket", "bi", "bj"]):
         bucket = t["bucket"][0].as_py()
-        rep, half, n = t["rep"].to_numpy(), t["half"].to_numpy(), t["n"].to_numpy()
+        cid, rep, half, n = (t[c].to_numpy() for c in ("cid", "rep", "half", "n"))
         m = len(rep)
-        if m < 2:
-            continue
-        x = unit(t["e"].combine_chunks().flatten().to_numpy().reshape(m, -1))
-        codes = t["codes"].combine_chunks().flatten().to_numpy().reshape(m, TABLES * PROBES)
-        # Of a vector with two probes in one bucket only one row is dealt (see near_vectors).
         same = t["bi"][0].as_py() == t["bj"][0].as_py()
         left = np.arange(m) if same else np.flatnonzero(half == 0)
         right = np.arange(m) if same else np.flatnonzero(half == 1)
-        if not len(left) or not len(right):
-            continue
-        i, j = np.nonzero(x[left] @ x[right].T >= COSINE)
-        i, j = left[i], right[j]
-        if same:
-            i, j = i[i < j], j[i < j]
-        if not len(i):
+        if m < 2 or not len(left) or not len(right):
             continue
-        keep = np.empty(len(i), bool)
-        for lo in range(0, len(i), 16384):
-            a, b = codes[i[lo : lo + 16384]], codes[j[lo : lo + 16384]]
-            # the least shared bucket is the one that counts the pair
-            both = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
-            keep[lo : lo + 16384] = both == bucket
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        links = np.bincount(i, weights=n[j], minlength=m) + np.bincount(j, weights=n[i], minlength=m)
+        x = unit(t["e"].combine_chunks().flatten().to_numpy().reshape(m, -1))
+        codes = t["codes"].combine_chunks().flatten().to_numpy().reshape(m, TABLES * PROBES)
+        links = np.zeros(m)
+        tree = []
+        for at in range(0, len(left), STRIP):
+            strip = left[at : at + STRIP]
+            i, j = np.nonzero(x[strip] @ x[right].T >= COSINE)
+            i, j = strip[i], right[j]
+            if same:
+                i, j = i[i < j], j[i < j]
+            keep = np.empty(len(i), bool)
+            for lo in range(0, len(i), 16384):
+                a, b = codes[i[lo : lo + 16384]], codes[j[lo : lo + 16384]]
+                # the least shared bucket is the one that counts the pair
+                both = np.where((a[:, :, None] == b[:, None, :]).any(2), a, np.iinfo(np.int64).max).min(1)
+                keep[lo : lo + 16384] = both == bucket
+            i, j = i[keep], j[keep]
+            links += np.bincount(i, weights=n[j], minlength=m) + np.bincount(j, weights=n[i], minlength=m)
+            tree.append(forest(rep[i], rep[j]))
         some = np.flatnonzero(links)
-        a, b = forest(rep[i], rep[j])
+        if not len(some):
+            continue
+        a, b = forest(*(np.concatenate(z) for z in zip(*tree)))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate((rep[some], a))),
+                pa.array(np.concatenate((cid[some], a))),
                 pa.array(np.concatenate((np.full(len(some), -1), b)), mask=np.arange(len(some) + len(a)) < len(some)),
                 pa.array(np.concatenate((links[some].astype(np.int64), np.zeros(len(a), np.int64)))),
             ],
@@ -131,8 +132,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
 
     A vector links with every other of cosine >= 0.9. Null, empty and zero vectors and those with a
     null, NaN or infinite component link with nothing. Equal vectors are joined before hashing.
-    Vectors of different lengths never link. Rows that share a vec_id count as separate vectors of one
-    component. Other columns are ignored.
+    Vectors of different lengths never link. Rows that share a vec_id count as separate vectors, each with its own
+    links, of one component. A null vec_id links with nothing. An empty table gives no rows. Other columns are ignored.
     """
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
@@ -147,7 +148,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     # Single-precision input goes back to single precision, without loss, wherever it is shuffled.
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     rows = rows.withColumn("e", F.col("e").cast(f"array<{kind}>"))
-    classes = checkpoint(rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    classes = rows.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = checkpoint(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     def hashed(frames):
         for pdf in frames:
@@ -159,10 +161,9 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
                     x = np.stack(few["e"].to_numpy())
                     codes = buckets(unit(x)).reshape(len(x), -1)
                     codes = (mix(codes + U(x.shape[1])) >> U(1)).astype(np.int64)
-                    yield pd.DataFrame({"rep": few["rep"], "n": few["n"], "e": few["e"], "codes": list(codes)})
+                    yield pd.DataFrame({"cid": few["cid"], "rep": few["rep"], "n": few["n"], "e": few["e"], "codes": list(codes)})
 
-    codes = classes.mapInPandas(hashed, f"rep long, n long, e array<{kind}>, codes array<long>")
-    codes = checkpoint(codes.withColumn("cid", F.monotonically_increasing_id()))
+    codes = checkpoint(classes.mapInPandas(hashed, f"cid long, rep long, n long, e array<{kind}>, codes array<long>"))
     posts = codes.select("cid", F.explode(F.array_distinct("codes")).alias("bucket"))
     sizes = posts.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     # Only ids are placed in buckets; the vectors join them afterwards and are dealt once.
@@ -179,18 +180,21 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
         )
         .select("cid", "bucket", "p.bi", "p.bj", "p.half")
     )
-    dealt = placed.join(codes, "cid").select("bucket", "bi", "bj", "half", "rep", "n", "e", "codes")
+    dealt = placed.join(codes, "cid").select("bucket", "bi", "bj", "half", "cid", "rep", "n", "e", "codes")
     found = checkpoint(
         dealt.repartition(n, "bucket", "bi", "bj")
         .sortWithinPartitions("bucket", "bi", "bj")
         .mapInArrow(_links, "src long, dst long, links long")
     )
-    comps = connected_components(found.where("dst is not null"))
-    # Rows that share a vec_id may be several classes: count by row, not by class id.
+    # A vec_id with several vectors is one node: its classes are joined.
+    several = rows.where("e is not null").groupBy("vec_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = rows.join(several, "vec_id", "left_semi").join(classes, "e").selectExpr("vec_id as src", "rep as dst")
+    comps = connected_components(found.where("dst is not null").select("src", "dst").unionByName(own))
+    # Rows that share a vec_id may be several classes: links are counted by class, not by id.
     counts = found.where("dst is null").groupBy("src").agg(F.sum("links").alias("links"))
     joined = (
         rows.join(classes, "e", "left")
-        .join(counts.withColumnRenamed("src", "rep"), "rep", "left")
+        .join(counts.withColumnRenamed("src", "cid"), "cid", "left")
         .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     )
     return joined.select(

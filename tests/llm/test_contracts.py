@@ -158,6 +158,60 @@ def test_vectors_link_as_brute_force(spark):
         assert m["kept"] == (m["component_id"] == m["vec_id"])
 
 
+def planted(dim, groups, seed=5):
+    """Pairs and clusters of cosines from 0.9 to 0.95, and bystanders: (ids, vectors)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for cos in np.linspace(0.9001, 0.95, groups):
+        a = rng.normal(size=dim)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=dim)
+        b -= (a @ b) * a
+        out += [a, cos * a + np.sqrt(1 - cos * cos) * b / np.linalg.norm(b)]
+    out += list(rng.normal(size=(200, dim)))
+    return np.array(out) * rng.uniform(0.1, 10, (len(out), 1))
+
+
+def plain_vectors(ids, x):
+    x = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    comp = components(len(ids), list(zip(*np.nonzero(np.triu(near)))))
+    low = {}
+    for i, c in enumerate(comp):
+        low[c] = min(low.get(c, ids[i]), ids[i])
+    return sorted((ids[i], int(near[i].sum()), low[comp[i]]) for i in range(len(ids)))
+
+
+@pytest.mark.parametrize("dim", [48, 256])
+def test_planted_pairs_are_found(spark, dim):
+    x = planted(dim, 600)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    mine = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect())
+    want = plain_vectors(list(range(len(x))), x)
+    found, links = sum(r[1] for r in mine), sum(r[1] for r in want)
+    assert links >= 1200 and found >= 0.99 * links
+    assert all(a[1] <= b[1] for a, b in zip(mine, want))
+
+
+def test_dense_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    monkeypatch.setattr(embeddings, "STRIP", 5)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(90, 32)) for c in rng.normal(size=(2, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    mine = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(df).collect())
+    assert mine == plain_vectors(list(range(len(x))), x) and mine[0][1] == 89
+
+
+def test_rows_of_one_vec_id_count_apart(spark):
+    v = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (8, [1.0, 0.01, 0.0]), (9, [0.0, 1.0, 0.01]), (10, [0.01, 1.0, 0.0]), (11, [0.0, 0.0, 1.0])]
+    out = embeddings.near_vectors(spark.createDataFrame(v, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out) == [
+        (7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (10, 2, 7, False), (11, 0, 11, True),
+    ]
+
+
 def test_odd_vectors(spark):
     v = [
         (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0]),
