@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.bpe import bpe_round_trip
 from loomgraph.llm.embeddings import near_vectors
 from loomgraph.llm.fingerprints import fingerprint_pairs
-from loomgraph.llm.licenses import NOTICES, STEPS, TEXTS, license_scan
+from loomgraph.llm.licenses import DIGESTS, NOTICES, STEPS, TEXTS, license_scan
 from loomgraph.llm.minhash import minhash_components
 from loomgraph.llm.mixing import mixed_sizes
 from loomgraph.llm.pii import pii_spans
@@ -92,14 +94,16 @@ def _op9() -> str:
     def norm(x: str) -> str:
         out = f"lower(coalesce({x}, ''))"
         for pattern, new in STEPS:
-            out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(new)}, 'g')"
+            out = f"regexp_replace({out}, {_sql_text(pattern)}, {_sql_text(re.sub('[$]([0-9])', chr(92) + chr(92) + chr(92) + '1', new))}, 'g')"
         return out.replace("'\n'", "chr(10)")
 
     digest = r"sha256(trim(regexp_replace({}, '\s+', ' ', 'g')))"
     rows = [(t, i, "text") for i, ts in TEXTS.items() for t in ts] + [(t, i, "line") for i, ts in NOTICES.items() for t in ts]
     known = ", ".join("(" + ", ".join(map(_sql_text, r)) + ")" for r in rows)
+    hashed = ", ".join("(" + ", ".join(map(_sql_text, (d, i, "text"))) + ")" for i, ds in DIGESTS.items() for d in ds)
     return f"""
-WITH known AS (SELECT DISTINCT {digest.format(norm("t"))} AS digest, i AS license_id, kind FROM (VALUES {known}) v(t, i, kind)),
+WITH known AS (SELECT DISTINCT {digest.format(norm("t"))} AS digest, i AS license_id, kind FROM (VALUES {known}) v(t, i, kind)
+               UNION SELECT * FROM (VALUES {hashed}) w(digest, license_id, kind)),
 texts AS (SELECT digest, min(license_id) AS license_id FROM known WHERE kind = 'text' GROUP BY digest),
 n AS (SELECT doc_id, {norm("text")} AS norm FROM documents),
 lines AS (SELECT DISTINCT doc_id, sha256(trim(l)) AS digest FROM (SELECT doc_id, unnest(string_split(norm, chr(10))) AS l FROM n) t),

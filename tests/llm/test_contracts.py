@@ -510,6 +510,47 @@ def test_licenses(spark, odd, none):
     assert licenses.license_scan(none).count() == 0
 
 
+def test_licenses_are_found_per_row(spark, monkeypatch):
+    rows = [(1, "nothing"), (1, "x\nLicensed under CC BY-NC 4.0"), (None, "SPDX-License-Identifier: GPL-3.0-or-later"), (None, ""), (1, "nothing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted((r["doc_id"] or 0, r["n_notices"], r["notices"]) for r in licenses.license_scan(df).collect())
+    assert plain == [(0, 0, ""), (0, 1, "GPL-3.0"), (1, 0, ""), (1, 0, ""), (1, 1, "CC-BY-NC-4.0")]
+    monkeypatch.setattr(licenses, "MAX_LITERAL", 5)
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", 5)
+    known = licenses.known_digests(spark).select("digest", "license_id", "kind")
+    joined = sorted((r["doc_id"] or 0, r["n_notices"], r["notices"]) for r in licenses.license_scan(df, known).collect())
+    assert joined == plain
+
+
+PUBLISHED = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0",
+    "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0",
+}
+
+
+def test_published_texts_are_found(spark):
+    """Whole texts as distributions ship them, with other case, punctuation, breaks and holders."""
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    if not folder.exists():
+        pytest.skip("no published texts here")
+    rows, want = [], []
+    for name, spdx in PUBLISHED.items():
+        text = (folder / name).read_text()
+        for form in (text, text.upper(), "  " + text.replace("\n", "\r\n"), text.replace("license", "licence").replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Some One")):
+            rows.append((len(rows), form))
+            want.append(spdx)
+        rows.append((len(rows), text + "\nand more"))
+        want.append(None)
+    texts = {"ISC": "Copyright (c) 2001 A\n\n" + licenses.ISC, "Unlicense": licenses.UNLICENSE, "Zlib": "zlib License\n\n(C) 1995 B\n\n" + licenses.ZLIB, "0BSD": licenses.BSD_0}
+    for spdx, text in texts.items():
+        rows.append((len(rows), text))
+        want.append(spdx)
+    out = got(licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [out[k]["license_id"] for k in range(len(rows))] == want
+
+
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_sql_twins(spark, name):
     import duckdb
