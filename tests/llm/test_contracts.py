@@ -452,6 +452,82 @@ def test_cascade_is_exact(spark):
 # 8 ------------------------------------------------------------------------------------------------
 
 
+def plain_targets(sizes):
+    """Fill to one level for each unit of weight: the level at which the shares add up to 150 %."""
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    low, high = 0.0, 2.0 * max(sizes, default=0) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        full = sum(min(2 * s, mid * w) for s, w in zip(sizes, weight))
+        low, high = (mid, high) if full < 1.5 * sum(sizes) else (low, mid)
+    return [min(2.0 * s, high * w) for s, w in zip(sizes, weight)]
+
+
+@pytest.mark.parametrize("sizes", [[10, 1000, 1000], [5], [0, 0], [7, 0, 3, 900, 1, 1, 50], list(range(1, 40)), [1000, 1, 1, 1, 1, 1, 1]])
+def test_targets_fill_to_one_level(spark, sizes):
+    want = plain_targets(sizes)
+    assert np.allclose(mixing.targets(sizes), want, atol=1e-6)
+    df = spark.createDataFrame(list(enumerate(sizes)), "rank long, words long")
+    wide = {r["rank"]: r["target"] for r in mixing.wide_targets(df).collect()}
+    assert [wide[i] for i in range(len(sizes))] == mixing.targets(sizes)
+
+
+def draws_of(r):
+    return [tuple(map(int, d.split(":"))) for d in r["draws"].split(",") if d]
+
+
+def test_shards_draw_what_the_tree_gave(spark):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    plan = mixing.plan_mix(docs)
+    draws = plan.draws.collect()
+    ranks = sorted({r["rank"] for r in draws})
+    quota = Counter(r["rank"] for r in draws)
+    tree = mixing.split_tree(np.array([quota[k] for k in ranks]), mixing.SHARDS, np.random.default_rng(mixing.SEED))
+    per = Counter((r["shard"], r["rank"]) for r in draws)
+    assert all(per[s, k] == tree[s, i] for s in range(mixing.SHARDS) for i, k in enumerate(ranks))
+    whole = Counter(r["shard"] for r in draws)
+    assert max(whole.values()) - min(whole[s] for s in range(mixing.SHARDS)) <= 1
+    of = {(r["rank"], r["block"], r["turn"]): r["shard"] for r in draws}
+    assert len(of) == len(draws)  # a block goes to one shard in each pass
+    place = {r["doc_id"]: (r["rank"], r["block"]) for r in plan.sizes.collect()}
+    mine = mixing.mixed_sizes(docs).collect()
+    assert any(r["draws"] for r in mine)
+    for r in mine:
+        assert sum(w for _, _, w in draws_of(r)) == r["taken"]
+        assert all(of[(*place[r["doc_id"]], turn)] == shard for turn, shard, _ in draws_of(r))
+
+
+def test_many_sources_in_runs(spark, monkeypatch):
+    rows = [(i, f"s{i % 50:02}", "w " * (1 + i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plain = {r["doc_id"]: r for r in mixing.mixed_sizes(df).collect()}
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 3)
+    monkeypatch.setattr(mixing, "BUCKETS", 8)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 5)
+    wide = {r["doc_id"]: r for r in mixing.mixed_sizes(df).collect()}
+    plan = mixing.plan_mix(df)
+    whole = Counter(r["shard"] for r in plan.draws.collect())
+    assert max(whole.values()) - min(whole[s] for s in range(mixing.SHARDS)) <= 1
+    took, goal = Counter(), {}
+    for k, r in wide.items():
+        assert (r["size"], r["source_size"], r["target"]) == (plain[k]["size"], plain[k]["source_size"], plain[k]["target"])
+        took[rows[k][1]] += r["taken"]
+        goal[rows[k][1]] = r["target"]
+    assert all(abs(took[s] - goal[s]) <= 1 for s in goal)
+
+
+def test_mix_of_repeated_rows_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(11))
+    rows = [(None, "a", f"{i} {text}", "x", 1) for i in range(30)] + [(1, "a", text, "y", 2)] * 7 + [(1, "b", text, "z", 3), (2, None, text, "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _words string, _order int")
+    one, two = (sorted(map(tuple, mixing.mixed_sizes(df.repartition(k)).collect()), key=repr) for k in (1, 5))
+    assert one == two and len(one) == len(rows)
+    mixed = mixing.mix_documents(df)
+    assert mixed.columns == df.columns
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == sum(r[4] for r in one)
+
+
 def test_mix(spark, odd, none):
     base = "/root/testdata/sf0.01"
     docs = rows_of("documents", base)
@@ -461,7 +537,7 @@ def test_mix(spark, odd, none):
     for d in docs:
         per[d["source"]] += size[d["doc_id"]]
     names = sorted(per)
-    goal = dict(zip(names, mixing.targets([per[n] for n in names])))
+    goal = dict(zip(names, plain_targets([per[n] for n in names])))
     took = Counter()
     for d in docs:
         r = mine[d["doc_id"]]
@@ -493,7 +569,6 @@ def test_split_tree():
     quota = np.array([100, 0, 7, 33])
     t = mixing.split_tree(quota, 8, np.random.default_rng(1))
     assert t.sum(0).tolist() == quota.tolist() and t.sum(1).max() - t.sum(1).min() <= 1 and (t >= 0).all()
-    assert mixing.targets([10, 1000, 1000]) == [20.0, *(2995.0 * np.array([2, 1]) / 3).clip(max=2000).tolist()][:1] + mixing.targets([10, 1000, 1000])[1:]
 
 
 # 9 ------------------------------------------------------------------------------------------------
