@@ -68,8 +68,8 @@ def distinct_shingles(a: Column | str, k: int = K) -> Column:
     """Estimated number of distinct shingles; exact below k."""
     a = _as_column(a)
     # position of the k-th hash in the range of all hashes, 0 to 1
-    share = F.element_at(a, -1).cast("double") / F.lit(2.0**64) + 0.5
-    return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise((k - 1) / share)
+    share = F.try_element_at(a, F.lit(-1)).cast("double") / F.lit(2.0**64) + 0.5
+    return F.when(F.size(a) < k, F.size(a).cast("double")).otherwise(F.lit(float(k - 1)) / share)
 
 
 def containment(a: Column | str, b: Column | str, k: int = K) -> Column:
@@ -111,21 +111,30 @@ def range_blocks(ids: DataFrame, column: str) -> DataFrame:
     return out.withColumn("_block", F.col("_coarse") + count(F.slice(bounds, F.col("_coarse") + 1, F.lit(step)))).drop("_coarse")
 
 
+def _blocks_without_ids(rows: DataFrame, column: str) -> DataFrame:
+    """``_block`` for rows whose ``column`` is a hash: equal ranges of it, after those of all ids."""
+    n = min(MAX_BLOCKS, max(1, 4 * shuffle_partitions(rows.sparkSession)))
+    place = (F.col(column).cast("double") / F.lit(2.0**64) + 0.5) * n
+    return rows.withColumn("_block", F.lit(MAX_BLOCKS + 1) + F.least(F.lit(n - 1), F.floor(place).cast("int")))
+
+
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
+    """``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` and more, below.
 
     The edited text has its last floor(n/2) code points replaced by as many from the start of the
     next document by doc_id (the first one's for the last). Rows that share a doc_id follow each other in
-    the order of their texts; a null doc_id comes last of all. A null text is an empty one. Other
-    columns are ignored. The text is shuffled once, into ranges of ids; each range gets the first rows
-    of the next one as guests (the last range those of the first), so that the next row is at hand.
+    the order of their texts; rows without one come last of all, in a fixed order by their texts. A null text is an
+    empty one. An empty table gives no rows. Other columns are ignored. The text is shuffled once, into ranges of
+    ids; each range gets the first rows of the next one as guests (the last range those of the first), so that the next
+    row is at hand.
+
+    ``n_shingles`` estimates the text's distinct shingles, ``contained`` the share of them that the edited text has,
+    and ``n_shingles_both`` the distinct shingles of this document and the next together, by merging their sketches.
     """
-    src = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("_id"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    blocked = range_blocks(src, "_id")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    src = src.withColumn("_id", F.coalesce("doc_id", F.xxhash64("text")))
+    known = range_blocks(src.where("doc_id is not null"), "_id")
+    blocked = known.unionByName(_blocks_without_ids(src.where("doc_id is null"), "_id"))
     firsts = checkpoint(blocked.groupBy("_block").agg(F.min("_id").alias("first")))  # a row for each block
     order = firsts.selectExpr(
         "_block", "first",
@@ -156,4 +165,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
         as_text("efp").alias("edited_fingerprint"),
         resemblance("fp", "efp").alias("near_edited"),
         resemblance("fp", "_next_fp").alias("near_next"),
+        distinct_shingles("fp").alias("n_shingles"),
+        containment("fp", "efp").alias("contained"),
+        distinct_shingles(merge("fp", "_next_fp")).alias("n_shingles_both"),
     )
