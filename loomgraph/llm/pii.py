@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -101,14 +103,16 @@ def phones(text: str) -> list[tuple[int, int]]:
 
 
 def ibans(text: str) -> list[tuple[int, int]]:
-    found = []
-    for m in _IBAN.finditer(text):
+    found, at = [], 0
+    while m := _IBAN.search(text, at):
         s = m[0]
         # words in capitals may follow the number: the longest cut at a space that passes
         ends = [len(s), *(k for k in range(len(s) - 1, 14, -1) if s[k] == " ")]
         good = next((e for e in ends if mod97(s[:e])), None)
         if good:
             found.append((m.start(), m.start() + good))
+        # the rest of an accepted match, or what follows the first word of another, may hold the next number
+        at = m.start() + (good or (s.find(" ") + 1 or len(s)))
     return found
 
 
@@ -141,9 +145,11 @@ def find_pii(text: str | None) -> list[tuple[str, int, int, float]]:
     more = []
     if digits:
         for rank, kind in enumerate(ADDED, len(KINDS)):
+            taken = sorted((b[0], b[3]) for b in [*base, *more])
+            starts = [s for s, _ in taken]
+            reach = [0, *accumulate((e for _, e in taken), max)]  # how far the first k spans go
             for s, e in _FINDERS[kind](text):
-                clash = any(s < b[3] and b[0] < e for b in [*base, *more])
-                if not clash and score(text, kind, s, e) >= BAR:
+                if reach[bisect_left(starts, e)] <= s and score(text, kind, s, e) >= BAR:
                     more.append((s, rank, kind, e))
     return [(k, s, e, score(text, k, s, e)) for s, _, k, e in sorted(base + more)]
 
@@ -191,7 +197,8 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with the spans in ``text`` replaced by ``<kind>``; all other columns as they are.
 
-    A numeric column ``n_chars`` is brought up to date where there is one.
+    A numeric column ``n_chars`` is brought up to date where there is one. Null and empty texts stay as they are,
+    repeated rows each count, null ids and columns of any names pass through, and an empty table gives no rows.
     """
 
     src = docs.withColumn("text", F.col("text").cast("string"))
