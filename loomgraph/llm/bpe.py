@@ -175,7 +175,11 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token
 
 
 def encoded_and_checked(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the tokens decode to the text."""
+    """``docs`` with ``token_ids``, ``n_tokens`` and ``round_trip``: whether the tokens decode to the text.
+
+    A null text has no tokens and decodes to an empty one. Columns of these three names are replaced, others
+    pass through; repeated rows each count, and an empty table gives no rows.
+    """
 
     names = ("token_ids", "n_tokens", "round_trip")
     src = docs.select(*(c for c in docs.columns if c not in names)).withColumn("text", F.col("text").cast("string"))

@@ -244,18 +244,23 @@ def fold_of(doc_id: str = "doc_id") -> F.Column:
     return F.expr(f"cast(crc32(cast({doc_id} as string)) % 4 as int)")
 
 
+def trained(stats: DataFrame, labels: DataFrame) -> Model:
+    """A model from the statistics of all documents that have a label and aren't held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
+    known = known.where("y in (0, 1)").withColumn("fold", fold_of()).where("fold <> 2")
+    return fit(checkpoint(stats.join(known, "doc_id").select("x", "y", "fold")))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``.
 
     ``labels`` (doc_id, quality) teaches from rows that aren't held out; null or other values than 0
     and 1 teach nothing, and of contradicting labels of an id both count. Empty and null texts are
-    scored like any others. A null doc_id is not held out.
+    scored like any others; repeated rows each get their score. A null doc_id is not held out. An empty table
+    gives no rows. Other columns are ignored.
     """
     stats = checkpoint(document_statistics(docs))
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"))
-    known = known.where("y in (0, 1)").withColumn("fold", fold_of()).where("fold <> 2")
-    train = checkpoint(stats.join(known, "doc_id").select("x", "y", "fold"))
-    model = fit(train)
+    model = trained(stats, labels)
 
     def scored(batches):
         for b in batches:
@@ -272,7 +277,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that the classifier does not reject."""
-    scores = quality_scores(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("good"))
-    bad = scores.where("good = 0").select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    """The rows of ``docs`` (all columns, of any names) that the classifier does not reject.
+
+    The decision falls on each row by its own text, in the pass that carries the row: null and repeated ids change
+    nothing. An empty table gives no rows.
+    """
+    model = trained(document_statistics(docs), labels)
+
+    def work(batches):
+        for part in text_chunks(batches):
+            yield part.filter(pa.array(model.score(statistics(part.column("text").to_pylist())) >= BAR))
+
+    src = docs.withColumn("text", F.col("text").cast("string"))
+    return src.mapInArrow(work, ", ".join(f"`{c}` {t}" for c, t in src.dtypes))

@@ -120,6 +120,22 @@ def test_quality_ranks_held_out_documents(spark, odd, none):
     assert quality.quality_scores(none, labels).count() == 0
 
 
+def test_rejection_is_by_row(spark):
+    """Rows of one id, or without one, are judged by their own texts; columns may have any names."""
+    base = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    scores = docs.join(quality.quality_scores(docs, labels), "doc_id").select("text", "predicted").collect()
+    good = {r["text"] for r in scores if r["predicted"]}
+    other = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, None).otherwise(F.lit(10**9)))  # ids without labels
+    both = docs.unionByName(other).withColumn("_bad_id", F.lit(7))
+    left = quality.good_documents(both, labels)
+    assert left.columns == both.columns
+    rows, texts = left.collect(), [r["text"] for r in scores]
+    assert 0 < len(good) < len(set(texts)) and {r["_bad_id"] for r in rows} == {7}
+    assert Counter(r["text"] for r in rows) == Counter(t for t in texts + texts if t in good)
+    assert quality.good_documents(both.where("1 = 0"), labels).count() == 0
+
+
 def test_isotonic_is_monotone():
     y = quality.isotonic(np.arange(4), np.array([0.0, 1.0, 0.5, 1.0]), np.array([1.0, 1.0, 3.0, 1.0]))
     assert y.tolist() == [0.0, 0.625, 0.625, 1.0]
@@ -278,6 +294,42 @@ def test_pii_edges(text):
     assert base == [x[2] for x in plain_pii(text)]
 
 
+def test_ibans_next_to_each_other():
+    one, two = "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"
+    spans = lambda t: [t[s:e] for k, s, e, _ in pii.find_pii(t) if k == "iban"]
+    assert spans(f"{one} {two}") == [one, two]
+    assert spans("AB12 DE89370400440532013000") == ["DE89370400440532013000"]
+    assert spans("DE89 3704 0044 0532 0130 01 " + two) == [two]
+    assert pii.mask(f"pay {one} {two} now") == "pay <iban> <iban> now"
+
+
+def test_words_nearby_move_the_score():
+    card = "4111 1111 1111 1111"
+    base = pii.BASE_SCORE["card"]
+    for before, moved in (("", 0), ("visa ", pii.BONUS), ("order ", -pii.BONUS), ("order visa ", 0), ("visa " + "x" * pii.REACH + " ", 0)):
+        (span,) = pii.find_pii(before + card)
+        assert span[0] == "card" and span[3] == pytest.approx(min(1, base + moved))
+    number = "030 1234 5678"
+    assert [k for k, *_ in pii.find_pii(f"tel {number}")] == ["national_phone"]
+    assert not pii.find_pii(number) and not pii.find_pii(f"isbn tel {number}")
+
+
+def test_least_score_of_a_row(spark):
+    rows = [(1, "visa 4111 1111 1111 1111 and 10.0.0.1 in the version"), (2, "nothing"), (3, "x@y.zz")]
+    out = got(pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")))
+    least = pii.BASE_SCORE["ip"] - pii.BONUS
+    assert out[1]["min_score"] == pytest.approx(least) and out[2]["min_score"] is None and out[3]["min_score"] == pii.BASE_SCORE["email"]
+
+
+def test_spans_of_a_long_text_take_linear_time():
+    import time
+
+    text = "tel 030 1234 5678, " * 40_000
+    began = time.perf_counter()
+    assert len(pii.find_pii(text)) == 40_000
+    assert time.perf_counter() - began < 20
+
+
 # 5 ------------------------------------------------------------------------------------------------
 
 
@@ -297,6 +349,10 @@ def test_fingerprints(spark, odd, none):
         edited = a["text"][: n - n // 2] + b["text"][: n // 2]
         r = mine[a["doc_id"]]
         assert (r["n_chars"], r["edited_sha256"]) == (n, sha(edited))
+        x, y, z = shingles(a["text"]), shingles(edited), shingles(b["text"])
+        for est, n_ in ((r["n_shingles"], len(x)), (r["n_shingles_both"], len(x | z))):
+            assert est == n_ if n_ < fingerprints.K else abs(est / n_ - 1) < 0.45
+        assert abs(r["contained"] - (len(x & y) / len(x) if x else 1)) < 0.3
         for other, est in ((edited, r["near_edited"]), (b["text"], r["near_next"])):
             x, y = shingles(a["text"]), shingles(other)
             j = len(x & y) / len(x | y)
@@ -311,6 +367,37 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.fingerprint_pairs(none).count() == 0
 
 
+def test_sketches_of_parts_make_that_of_the_whole(spark):
+    """Above k hashes: parts that overlap by four words have the shingles of the whole between them."""
+    w = [f"w{i}" for i in range(3000)]
+    parts = [(1, " ".join(w[:1500])), (1, " ".join(w[1496:2500])), (1, " ".join(w[2496:])), (2, " ".join(w)), (3, " ".join(w[:2002]))]
+    s = fingerprints.with_sketch(spark.createDataFrame(parts, "g int, text string"), "text")
+    out = {r["g"]: r["sketch"] for r in fingerprints.merged(s, ["g"]).collect()}
+    assert out[1] == out[2] and len(out[1]) == fingerprints.K
+    one = fingerprints.merged(s, ["g"])
+    two = one.where("g = 2").select(F.col("sketch").alias("a")).crossJoin(one.where("g = 3").select(F.col("sketch").alias("b")))
+    r = two.select(
+        fingerprints.distinct_shingles("a").alias("n"), fingerprints.containment("b", "a").alias("in"), fingerprints.containment("a", "b").alias("of"),
+        fingerprints.resemblance("a", "b").alias("j"), (fingerprints.merge("a", "b") == F.col("a")).alias("m"),
+    ).first()
+    assert abs(r["n"] / 2996 - 1) < 0.3 and r["in"] > 0.8 and abs(r["of"] - 2 / 3) < 0.2 and abs(r["j"] - 2 / 3) < 0.15 and r["m"]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_rows_without_ids_follow_all_others(spark, parts):
+    texts = [f"t{i} a b c d e" for i in range(40)]
+    rows = [(None, t) for t in texts] + [(5, "five a b c d"), (3, "three a b c d")]
+    out = fingerprints.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert len(out) == 42
+    edits = {sha(x[: len(x) - len(x) // 2] + y[: len(x) // 2]): (x, y) for _, x in rows for _, y in rows}
+    follows = dict(edits[r["edited_sha256"]] for r in out)
+    at, ring = "three a b c d", []
+    for _ in rows:
+        ring.append(at)
+        at = follows[at]
+    assert ring[:2] == ["three a b c d", "five a b c d"] and sorted(ring) == sorted(t for _, t in rows)
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h"), (1, "d e f g h i j k"), (2, "x")], "g int, text string")
     s = fingerprints.with_sketch(df, "text")
