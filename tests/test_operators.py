@@ -436,3 +436,15 @@ def test_overlay(spark):
     o = spark.createDataFrame([("a", "a.py", "1"), ("b", "b.py", "2"), ("c", "c.py", "3")], "id string, source_file string, fingerprint string")
     f = spark.createDataFrame([("a.py", "1"), ("b.py", "9")], "path string, hash string")
     assert dict(rows(incremental.overlay_state(o, f))) == {"a": "fresh", "b": "stale", "c": "gone"}
+
+
+@pytest.mark.parametrize("heavy", [512, 3])
+def test_components_with_a_hub(spark, monkeypatch, heavy):
+    monkeypatch.setattr(components, "HEAVY", heavy)
+    hub = [(900, k) for k in range(40)] + [(901, k) for k in range(39, 60)]
+    chain = [(1000 + k, 1001 + k) for k in range(30)]
+    pairs = hub + chain + [(5000, 5000), (7000, 7001), (7001, 7000), (None, 1), (2, None)]
+    out = components.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    want = {n: 0 for n in [*range(60), 900, 901]} | {n: 1000 for n in range(1000, 1031)} | {5000: 5000, 7000: 7000, 7001: 7000}
+    assert {r["node"]: r["component"] for r in out} == want and len(out) == len(want)
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
