@@ -151,5 +151,7 @@ def graph_text(nodes: DataFrame, edges: DataFrame, found: DataFrame, budget: int
     lines = n.select("id", "depth", "degree", F.concat_ws(" ", "label", F.concat(F.lit("["), "source_file", F.lit("]"))).alias("line"))
     kept = within_budget(lines, ["depth", F.desc("degree"), "id"], F.length("line"), budget)
     rows = kept.orderBy("depth", F.desc("degree"), "id").collect()
-    e = enriched_edges(n.select("id", "label"), edges, "label").limit(len(rows) * 4)
+    # edges between the nodes that are shown, in a fixed order
+    e = enriched_edges(n.join(kept.select("id"), "id", "left_semi").select("id", "label"), edges, "label")
+    e = e.where("src_label is not null and dst_label is not null").orderBy("src_label", "relation", "dst_label")
     return "\n".join([r["line"] for r in rows] + [f"{r['src_label']} -{r['relation']}-> {r['dst_label']}" for r in e.collect()])

@@ -18,11 +18,27 @@ EDGE = "struct<src:string,dst:string,relation:string,confidence:string,source_fi
 FRAGMENT = f"path string, nodes array<{NODE}>, edges array<{EDGE}>, raw_calls array<struct<caller:string,callee:string,is_member:boolean>>, error string"
 #: Extractors by suffix: fn(path, text) -> (nodes, edges, raw calls) as tuples in the order of the schema.
 REGISTRY: dict[str, Callable] = {}
-# Folders that hold no sources, and what a research paper's first page tends to say.
-NOISE_DIRS = ("node_modules", ".git", "__pycache__", "dist", "build", "venv", ".venv", "target", ".tox", ".mypy_cache")
+# Folders that hold no sources, generated files, and what a research paper's first page tends to say.
+NOISE_DIRS = (
+    "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages",
+    "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs", "coverage", "lcov-report", "visual-tests",
+    "visual-test", "__snapshots__", "storybook-static", "dist-protected", ".next", ".nuxt", ".turbo", ".angular", ".idea",
+    ".cache", ".parcel-cache", ".svelte-kit", ".terraform", ".serverless", ".worktrees",
+)
+NOISE_FILES = (
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock",
+    "go.sum", "go.work.sum",
+)
 PAPER_SIGNALS = (r"\babstract\b", r"\bintroduction\b", r"\breferences\b", r"\bet al\b", r"\bdoi\b", r"\barxiv\b", r"\bfigure [0-9]", r"\btable [0-9]", r"\[[0-9]+\]", r"\bconclusion", r"\bmethod", r"\bexperiment", r"\bdataset\b")
-SECRET_DIRS = (".ssh", ".aws", ".gnupg", "secrets", "credentials")
-SECRET_NAMES = r"(?i)^(\.env(\..*)?|id_rsa.*|.*\.pem|.*\.key|.*\.p12|\.netrc|.*credentials.*\.json|.*secret.*\.(ya?ml|json|txt))$"
+# Folders and names of secrets, words that name a secret where a file name ends in them or is short, and
+# data formats in which such a word counts although they are parsed as code.
+SECRET_DIRS = (".ssh", ".gnupg", ".aws", ".gcloud", "secrets", ".secrets", "credentials")
+SECRET_NAMES = (
+    r"(?i)^\.(env|envrc)(\.|$)", r"(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$", r"(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$",
+    r"(?i)(\.netrc|\.pgpass|\.htpasswd)$", r"(?i)(aws_credentials|gcloud_credentials|service.account)",
+)
+SECRET_WORDS = ("credential", "secret", "passwd", "password", "private_key", "token")
+SECRET_DATA = ("json", "yaml", "yml", "toml", "ini", "cfg", "conf", "config", "xml", "properties", "env", "txt")
 #: Words in a corpus from which a graph pays, and from which the size deserves a warning.
 GRAPH_WORDS, MANY_WORDS, MANY_FILES = 50_000, 500_000, 500
 
@@ -32,12 +48,30 @@ def register_extractor(suffix: str, fn: Callable) -> None:
 
 
 def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, text`` of the files under a folder, noise folders left out."""
+    """``path, text`` of the files under a folder, noise folders and generated files left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     rel = F.regexp_replace("path", r"^(file:|[a-z0-9]+://[^/]*)?/*", "")
     base = re.sub(r"^([a-z]+:)?/*", "", root.rstrip("/")) + "/"
     out = raw.select(F.replace(rel, F.lit(base), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("text"))
-    return out.where(~F.exists(F.split("path", "/"), lambda p: p.isin(*NOISE_DIRS)))
+    return out.where(~is_noise(F.col("path")))
+
+
+def _folders(path: Column) -> Column:
+    """The folders above a file; its own name isn't one."""
+    parts = F.split(path, "/")
+    return F.slice(parts, F.lit(1), F.size(parts) - 1)
+
+
+def is_noise(path: Column) -> Column:
+    return F.exists(_folders(path), lambda p: p.isin(*NOISE_DIRS) | p.endswith(".egg-info")) | X.basename(path).isin(*NOISE_FILES)
+
+
+def survey(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """``path, text, kind`` of the files (path, text) that a graph is made of: no noise, secrets or ignored paths."""
+    kept = files.where(~is_noise(F.col("path")) & ~is_sensitive(F.col("path")))
+    if rules:
+        kept = kept.join(ignored(kept.select("path"), rules).where("not ignored").select("path").distinct(), "path", "left_semi")
+    return kept.select("path", "text", file_kind(F.col("path"), F.col("text")).alias("kind"))
 
 
 def file_kind(path: Column, text: Column) -> Column:
@@ -49,7 +83,21 @@ def file_kind(path: Column, text: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    return F.exists(F.split(path, "/"), lambda p: p.isin(*SECRET_DIRS)) | X.basename(path).rlike(SECRET_NAMES)
+    """A secret by a folder above the file, by its name, or by a word that its name is about.
+
+    A word counts at the end of the name's first part, or anywhere in one of at most two words; source code in a
+    programming language isn't judged by words.
+    """
+    name = X.basename(path)
+    named = F.lit(False)
+    for pattern in SECRET_NAMES:
+        named = named | name.rlike(pattern)
+    stem = F.substring_index(F.regexp_replace(name, r"^\.+", ""), ".", 1)
+    word = rf"(?i)(?<![a-zA-Z0-9])({'|'.join(SECRET_WORDS)})s?"
+    parts = F.size(F.filter(F.split(stem, r"[-_\s]+"), lambda w: w != ""))
+    about = stem.rlike(word + "$") | (stem.rlike(word + "(?![a-zA-Z])") & (parts <= 2))
+    source = (X.file_category(path) == "code") & ~X.extension(path).isin(*(f".{x}" for x in SECRET_DATA), *SECRET_DATA)
+    return F.exists(_folders(path), lambda p: p.isin(*SECRET_DIRS)) | named | (about & ~F.coalesce(source, F.lit(False)))
 
 
 def ignored(paths: DataFrame, rules: list[str]) -> DataFrame:
