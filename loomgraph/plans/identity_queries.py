@@ -114,13 +114,13 @@ def community_lookup(spark, sf):
 
 
 @query("""
-WITH n AS (SELECT 'D' || doc_id AS id, substr(text, 1, 100) AS label, CASE WHEN doc_id % 5 = 0 THEN 'rationale' ELSE 'document' END AS ft FROM documents),
+WITH n AS (SELECT 'D' || doc_id AS id, text AS label, CASE WHEN doc_id % 5 = 0 THEN 'rationale' ELSE 'document' END AS ft FROM documents),
 s AS (SELECT id, trim(label) AS t FROM n WHERE ft = 'rationale' AND (length(label) >= 80 OR len(regexp_extract_all(label, '[^\\x20\\x09-\\x0D]+')) >= 8) AND regexp_matches(label, '[.!?:]'))
 SELECT n.id, s.t AS rationale FROM n LEFT JOIN s ON s.id = 'D' || (CAST(substr(n.id, 2) AS BIGINT) - 1) WHERE ft <> 'rationale'
 """)
 def fragment_cleanup(spark, sf):
     (d,) = read(spark, sf, "documents")
-    n = d.select(F.concat(F.lit("D"), "doc_id").alias("id"), F.substring("text", 1, 100).alias("label"), F.when(F.col("doc_id") % 5 == 0, "rationale").otherwise("document").alias("file_type"))
+    n = d.select(F.concat(F.lit("D"), "doc_id").alias("id"), F.col("text").alias("label"), F.when(F.col("doc_id") % 5 == 0, "rationale").otherwise("document").alias("file_type"))
     e = d.where("doc_id % 5 = 0").select(F.concat(F.lit("D"), "doc_id").alias("src"), F.concat(F.lit("D"), F.col("doc_id") + 1).alias("dst"), F.lit("rationale_for").alias("relation"))
     return build.sanitised(n, e)[0].select("id", "rationale")
 
