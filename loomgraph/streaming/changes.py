@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.operators.incremental import merge_graph
 
@@ -13,17 +11,26 @@ from loomgraph.operators.incremental import merge_graph
 def debounce_batches(events: DataFrame, quiet_seconds: float, key: str | None = None) -> DataFrame:
     """``batch_start, batch_end, n``: runs of events with gaps up to the quiet period. The batch twin of the stream.
 
-    Without a key the order is global by nature: events are first summed up by second, and the window runs
-    over those sums.
+    Events are summed up by time slot, and slots by hour; no gap within a slot can end a batch, so a window over one
+    row a slot finds the starts. Without a key the slots of each hour are windowed apart and the hours' ends are put
+    together in a window over one row an hour: no task holds the events, however many there are.
     """
     part = [key] if key else []
-    sec = events.groupBy(*part, "ts").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.partitionBy(*part).orderBy("ts")
     second = lambda c: c.cast("timestamp").cast("double")
-    gap = second(F.col("ts")) - second(F.lag("ts").over(w))
-    new = sec.withColumn("new", F.when(gap.isNull() | (gap > quiet_seconds), 1).otherwise(0))
-    runs = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*part, "run").agg(F.min("ts").alias("batch_start"), F.max("ts").alias("batch_end"), F.sum("k").alias("n")).drop("run")
+    slots = events.where("ts is not null").groupBy(*part, "ts").agg(F.count(F.lit(1)).alias("k"))
+    slots = slots.withColumn("hour", F.date_trunc("hour", "ts"))
+    inner = Window.partitionBy(*part, "hour").orderBy("ts")
+    gap = second(F.col("ts")) - second(F.lag("ts").over(inner))
+    local = slots.withColumn("step", F.coalesce((gap > quiet_seconds).cast("long"), F.lit(0).cast("long")))
+    local = local.withColumn("local", F.sum("step").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = local.groupBy(*part, "hour", "local").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.sum("k").alias("k"))
+    hours = runs.groupBy(*part, "hour").agg(F.min("first").alias("h_first"), F.max("last").alias("h_last"), F.max("local").alias("breaks"))
+    outer = Window.partitionBy(*part).orderBy("hour")  # one row an hour
+    since = second(F.col("h_first")) - second(F.lag("h_last").over(outer))
+    hours = hours.withColumn("starts", F.coalesce((since > quiet_seconds).cast("long"), F.lit(1).cast("long")))
+    hours = hours.withColumn("before", F.sum(F.col("starts") + F.col("breaks")).over(outer.rowsBetween(Window.unboundedPreceding, 0)) - F.col("breaks"))
+    whole = runs.join(hours.select(*part, "hour", "before"), [*part, "hour"]).withColumn("run", F.col("before") + F.col("local"))
+    return whole.groupBy(*part, "run").agg(F.min("first").alias("batch_start"), F.max("last").alias("batch_end"), F.sum("k").alias("n")).drop("run")
 
 
 def debounce_stream(events: DataFrame, quiet: str = "3 seconds", late: str = "10 seconds", key: str = "path") -> DataFrame:
@@ -45,15 +52,8 @@ def distinct_paths(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def running_degree(edges: DataFrame) -> DataFrame:
-    """``id, degree`` of a stream of edges, kept as state of each node."""
-    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
-
-    def add(key, frames, state: GroupState):
-        n = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
-        state.update((n,))
-        yield pd.DataFrame({"id": [key[0]], "degree": [n]})
-
-    return ends.groupBy("id").applyInPandasWithState(add, "id string, degree long", "n long", "update", GroupStateTimeout.NoTimeout)
+    """``id, degree`` of a stream of edges (or of a table): a stateful count of the ends."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
 def upsert_graph(path: str):
