@@ -78,25 +78,29 @@ def impact_prediction(nodes: DataFrame, edges: DataFrame, targets: list[str], de
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> DataFrame:
     """``src, dst, hops`` for each pair within ``max_hops``, whatever the directions of edges.
 
-    All pairs go forward together: a frontier row is (pair's source, node), pairs that are found leave.
+    All pairs are searched together, from both ends in turn: a frontier row is (origin, node), and a pair is as long
+    as the sum of both radii when its frontiers first share a node. Pairs that are found leave, and levels are added
+    to what has been seen instead of rewriting it.
     """
     steps = dealt(both_directions(edges.select("src", "dst")).distinct())
-    seen = checkpoint(pairs.select(F.col("src").alias("origin"), F.col("src").alias("id")).distinct())
     open_ = checkpoint(pairs.select("src", "dst").distinct())
     found = open_.where("src = dst").select("src", "dst", F.lit(0).alias("hops"))
     open_ = open_.where("src <> dst")
-    front = seen
+    front = {end: checkpoint(open_.select(F.col(end).alias("origin"), F.col(end).alias("id")).distinct()) for end in ("src", "dst")}
+    seen = dict(front)
     for level in range(1, max_hops + 1):
-        live = front.join(open_.select(F.col("src").alias("origin")).distinct(), "origin", "left_semi")
+        end = "src" if level % 2 else "dst"
+        live = front[end].join(open_.select(F.col(end).alias("origin")).distinct(), "origin", "left_semi")
         new = live.join(steps, live["id"] == steps["a"]).select("origin", F.col("b").alias("id")).distinct()
-        new = checkpoint(new.join(seen, ["origin", "id"], "left_anti"))
-        hit = new.select(F.col("origin").alias("src"), F.col("id").alias("dst"))
-        found = checkpoint(found.unionByName(open_.join(hit, ["src", "dst"], "left_semi").withColumn("hops", F.lit(level))))
+        new = checkpoint(new.join(seen[end], ["origin", "id"], "left_anti"))
+        front[end], seen[end] = new, seen[end].unionByName(new)
+        ahead = front["src"].select(F.col("origin").alias("src"), "id")
+        back = front["dst"].select(F.col("origin").alias("dst"), "id")
+        hit = checkpoint(open_.join(ahead, "src").join(back, ["dst", "id"], "left_semi").select("src", "dst").distinct())
+        found = found.unionByName(hit.withColumn("hops", F.lit(level)))
         open_ = checkpoint(open_.join(hit, ["src", "dst"], "left_anti"))
         if not open_.limit(1).count() or not new.limit(1).count():
             break
-        seen = checkpoint(seen.unionByName(new))
-        front = new
     steps.unpersist()
     return found
 
