@@ -6,35 +6,53 @@ import ast
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators.graph import both_directions, degree
 from loomgraph.operators.iterate import shortest_paths
+from loomgraph.runtime import checkpoint
 
-#: Verbs of claims by relation, and the worth of verdicts.
+#: Verbs of claims by relation, names of relations by the one they mean, and the worth of verdicts.
 ALIASES = {
-    "call": "calls", "calls": "calls", "invokes": "calls", "imports": "imports", "import": "imports", "uses": "uses", "use": "uses",
-    "extends": "inherits", "inherits": "inherits", "subclasses": "inherits", "implements": "implements", "contains": "contains",
-    "references": "references", "depends": "depends_on", "connected": "connected",
+    "call": "calls", "calls": "calls", "invoke": "calls", "invokes": "calls", "import": "imports", "imports": "imports",
+    "use": "uses", "uses": "uses", "extends": "inherits", "inherits": "inherits", "subclasses": "inherits",
+    "implements": "implements", "contain": "contains", "contains": "contains", "define": "contains", "defines": "contains",
+    "reference": "references", "references": "references", "depends": "uses", "connected": "connected",
+}
+RELATIONS = {
+    "call": "calls", "invokes": "calls", "invoke": "calls", "import": "imports", "imports_from": "imports", "use": "uses",
+    "inherit": "inherits", "inherits_from": "inherits", "extends": "inherits", "subclasses": "inherits",
+    "reference": "references", "refers_to": "references", "depends_on": "uses", "contain": "contains", "defines": "contains",
 }
 RANK = {"VERIFIED": 3, "VERIFIED_INDIRECT": 2, "UNKNOWN": 1, "REFUTED": 0}
 SUPPORTED = ("VERIFIED", "VERIFIED_INDIRECT")
 _CLAIM = re.compile(r"`([^`]+)`\s+(?:also\s+)?(" + "|".join(ALIASES) + r")\s+(?:on\s+|to\s+)?`([^`]+)`", re.I)
 _DEFINED = re.compile(r"`([^`]+)`\s+is\s+defined\s+in\s+`([^`]+)`", re.I)
+_NAMED = re.compile(r"`([^`\n]{1,120})`")
 CLAIMS = "claim_no int, subject string, relation string, object string"
 
 
 def claims_in(text: str | None) -> list[tuple[str, str, str]]:
-    """Distinct (subject, relation, object) claims of sentences that name both ends in backticks."""
+    """Distinct (subject, relation, object) claims of sentences that name both ends in backticks.
+
+    What a sentence without such a claim names in backticks is claimed to exist.
+    """
     out = []
     for sentence in re.split(r"(?<=[.!?])\s+|\n", text or ""):
-        out += [(a, ALIASES[v.lower()], b) for a, v, b in _CLAIM.findall(sentence)]
-        out += [(a, "defined_in", b) for a, b in _DEFINED.findall(sentence)]
+        said = [(a, ALIASES[v.lower()], b) for a, v, b in _CLAIM.findall(sentence)]
+        said += [(a, "defined_in", b) for a, b in _DEFINED.findall(sentence)]
+        out += said or [(a, "exists", "") for a in _NAMED.findall(sentence)]
     return list(dict.fromkeys(out))
 
 
+def relation_name(relation: Column) -> Column:
+    """The relation that a name means."""
+    plain = F.replace(F.lower(F.trim(relation)), F.lit(" "), F.lit("_"))
+    return F.coalesce(T.by_map(plain, RELATIONS), plain)
+
+
 def extract_claims(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, claim_no, subject, relation, object`` of each text."""
     def work(frames):
@@ -74,10 +92,11 @@ def resolve_labels(nodes: DataFrame, labels: DataFrame, top_n: int = 8) -> DataF
 def pair_verdicts(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> DataFrame:
     """Pairs (src, dst, relation, confident) with ``verdict``.
 
-    An edge of the relation verifies, another one between them does indirectly; an edge of the relation in
+    Relations are compared by what their names mean. An edge of the relation verifies, another one between them does indirectly; an edge of the relation in
     the other direction refutes a confident pair; a path within ``max_hops`` counts indirectly; else refuted if
     confident and unknown if not.
     """
+    edges = edges.select("src", "dst", relation_name(F.col("relation")).alias("relation"))
     fwd = edges.groupBy(F.col("src").alias("s"), F.col("dst").alias("d")).agg(F.collect_set("relation").alias("fwd"))
     rev = edges.groupBy(F.col("dst").alias("s"), F.col("src").alias("d")).agg(F.collect_set("relation").alias("rev"))
     p = pairs.join(fwd, (pairs["src"] == fwd["s"]) & (pairs["dst"] == fwd["d"]), "left").drop("s", "d")
@@ -85,7 +104,7 @@ def pair_verdicts(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     loose = p.where("fwd is null and rev is null").select("src", "dst").distinct()
     near = shortest_paths(edges, loose, max_hops).select(F.col("src").alias("s"), F.col("dst").alias("d"), "hops")
     p = p.join(near, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left").drop("s", "d")
-    r = F.col("relation")
+    r = relation_name(F.col("relation"))
     verdict = (
         F.when(F.array_contains("fwd", r) | ((r == "connected") & (F.col("fwd").isNotNull() | F.col("rev").isNotNull())), "VERIFIED")
         .when(F.col("fwd").isNotNull(), "VERIFIED_INDIRECT")
@@ -97,15 +116,38 @@ def pair_verdicts(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     return p.withColumn("verdict", verdict).drop("fwd", "rev", "hops")
 
 
+def file_verdicts(claims: DataFrame, subjects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``claim_id, verdict`` of claims that a subject is defined in a file: one path ends with the other or has it in it.
+
+    A subject without files, or one that isn't sure, is unknown where no file fits; else such a claim is refuted.
+    """
+    path = lambda c: F.lower(F.replace(F.col(c), F.lit("\\"), F.lit("/")))
+    at = claims.withColumn("want", F.trim(path("object"))).join(subjects, "subject")
+    at = at.join(nodes.select(F.col("id").alias("src"), path("source_file").alias("file")), "src")
+    has = F.coalesce(F.col("file") != "", F.lit(False))
+    fits = has & (F.contains("file", "want") | F.endswith("want", "file")) & (F.col("want") != "")
+    g = at.groupBy("claim_id").agg(
+        F.max(fits).alias("fits"), F.max(has & (F.col("want") != "")).alias("has"), F.min_by("c1", "rank").alias("sure")
+    )
+    return g.select("claim_id", F.when(F.col("fits"), "VERIFIED").when(F.col("has") & F.col("sure"), "REFUTED").otherwise("UNKNOWN").alias("verdict"))
+
+
 def claim_verdicts(claims: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``claim_id, verdict``: the best verdict over all pairs of resolved ends; unresolvable claims are unknown."""
+    """``claim_id, verdict``: the best verdict over all pairs of resolved ends; unresolvable claims are unknown.
+
+    A claim ``exists`` needs its subject only, ``defined_in`` compares its object with the files of the subject.
+    """
     labels = claims.select(F.col("subject").alias("label")).unionByName(claims.select(F.col("object").alias("label")))
-    ids = resolve_labels(nodes, labels)
-    s = ids.select(F.col("label").alias("subject"), F.col("id").alias("src"), F.col("confident").alias("c1"))
+    ids = checkpoint(resolve_labels(nodes, labels))
+    s = ids.select(F.col("label").alias("subject"), F.col("id").alias("src"), F.col("confident").alias("c1"), "rank")
     o = ids.select(F.col("label").alias("object"), F.col("id").alias("dst"), F.col("confident").alias("c2"))
-    pairs = claims.join(s, "subject").join(o, "object").where("src <> dst")
-    pairs = pairs.select("claim_id", "src", "dst", "relation", (F.col("c1") & F.col("c2")).alias("confident"))
-    v = pair_verdicts(pairs, edges)
+    kind = relation_name(F.col("relation"))
+    there = claims.where(kind == "exists").join(s.select("subject").distinct(), "subject").select("claim_id", F.lit("VERIFIED").alias("verdict"))
+    files = file_verdicts(claims.where(kind == "defined_in"), s, nodes)
+    between = claims.where(~kind.isin("exists", "defined_in"))
+    pairs = between.join(s, "subject").join(o, "object").where("src <> dst")
+    pairs = checkpoint(pairs.select("claim_id", "src", "dst", "relation", (F.col("c1") & F.col("c2")).alias("confident")))
+    v = pair_verdicts(pairs, edges).select("claim_id", "verdict").unionByName(there).unionByName(files)
     rank = T.by_map(F.col("verdict"), RANK)
     best = v.groupBy("claim_id").agg(F.max_by("verdict", rank).alias("verdict"))
     return claims.select("claim_id").distinct().join(best, "claim_id", "left").select("claim_id", F.coalesce("verdict", F.lit("UNKNOWN")).alias("verdict"))

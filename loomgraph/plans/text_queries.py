@@ -190,30 +190,53 @@ def plurality_vote(spark, sf):
     return history.plurality(read(spark, sf, "outcome")[0], "node", "outcome")
 
 
-def claims(spark, sf):
-    r, n, c = read(spark, sf, "region", "nation", "customer")
-    rn = n.join(r, n.n_regionkey == r.r_regionkey)
-    first = F.lit("Customer#000000000")
-    true = rn.select((F.col("n_nationkey") * 10).alias("claim_id"), F.col("r_name").alias("subject"), F.lit("contains").alias("relation"), F.col("n_name").alias("object"), F.col("n_regionkey").alias("insight_id"))
-    back = rn.select((F.col("n_nationkey") * 10 + 1).alias("claim_id"), F.col("n_name").alias("subject"), F.lit("contains").alias("relation"), F.col("r_name").alias("object"), (F.col("n_regionkey") + 100).alias("insight_id"))
-    none = rn.select((F.col("n_nationkey") * 10 + 2).alias("claim_id"), F.col("r_name").alias("subject"), F.lit("contains").alias("relation"), F.lit("no such node").alias("object"), (F.col("n_regionkey") + 200).alias("insight_id"))
-    far = rn.select((F.col("n_nationkey") * 10 + 3).alias("claim_id"), F.col("n_name").alias("subject"), F.lit("uses").alias("relation"), F.col("r_name").alias("object"), (F.col("n_regionkey") + 300).alias("insight_id"))
-    return true.unionByName(back).unionByName(none).unionByName(far).withColumn("claim_id", F.col("claim_id").cast("long"))
-
+#: (number, subject, relation, object, insight) of the claims made about every nation and its region.
+_SAID = (
+    (0, "r_name", "contains", "n_name", 0), (1, "n_name", "contains", "r_name", 100), (2, "r_name", "contains", "'no such node'", 200),
+    (3, "n_name", "uses", "r_name", 300), (4, "n_name", "exists", "''", 400), (5, "'no such node'", "exists", "''", 500),
+    (6, "n_name", "defined_in", "'geo/nation.tbl'", 600), (7, "n_name", "defined_in", "'geo/region.tbl'", 700),
+    (8, "r_name", "defines", "n_name", 800), (9, "n_name", "connected", "concat('Customer#', lpad(cast(n_nationkey + 1 as varchar(9)), 9, '0'))", 900),
+)
+_CLAIMS = " UNION ALL ".join(
+    f"SELECT n_nationkey * 10 + {k} AS claim_id, {s} AS subject, '{r}' AS relation, {o} AS object, n_regionkey + {i} AS insight_id FROM nr" for k, s, r, o, i in _SAID
+)
 
-_VERDICT = """v AS (SELECT n_nationkey * 10 AS claim_id, 'VERIFIED' AS verdict, n_regionkey AS insight_id FROM nation
-UNION ALL SELECT n_nationkey * 10 + 1, 'REFUTED', n_regionkey + 100 FROM nation
-UNION ALL SELECT n_nationkey * 10 + 2, 'UNKNOWN', n_regionkey + 200 FROM nation
-UNION ALL SELECT n_nationkey * 10 + 3, 'VERIFIED_INDIRECT', n_regionkey + 300 FROM nation)"""
 
-
-@query(f"WITH {_VERDICT} SELECT CAST(claim_id AS BIGINT) AS claim_id, verdict FROM v")
+def claims(spark, sf):
+    r, n = read(spark, sf, "region", "nation")
+    nr = n.join(r, n.n_regionkey == r.r_regionkey)
+    out = spark.sql(_CLAIMS.replace("FROM nr", "FROM {nr}"), nr=nr)
+    return out.withColumn("claim_id", F.col("claim_id").cast("long"))
+
+
+_VERDICT = f"""nr AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey), c AS ({_CLAIMS}),
+l AS (SELECT subject AS label FROM c UNION SELECT object FROM c),
+m AS (SELECT l.label, id, source_file, length(n.label) AS k, CASE WHEN lower(l.label) IN (lower(n.label), regexp_replace(lower(n.label), '\\(\\)$', '')) THEN 0 ELSE 1 END AS t
+      FROM l JOIN kg_nodes n ON len(regexp_extract_all(l.label, '\\w+')) > 0 AND list_has_all(regexp_extract_all(lower(n.label), '\\w+'), regexp_extract_all(lower(l.label), '\\w+'))),
+res AS (SELECT *, count(*) OVER (PARTITION BY label, t, k) = 1 AS sure, row_number() OVER (PARTITION BY label ORDER BY t, k, id) AS rank FROM m QUALIFY rank <= 8),
+e AS (SELECT DISTINCT src, dst, CASE relation WHEN 'imports_from' THEN 'imports' ELSE relation END AS rel FROM kg_edges),
+u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+p AS (SELECT claim_id, CASE relation WHEN 'defines' THEN 'contains' ELSE relation END AS rel, x.id AS src, y.id AS dst, x.sure AND y.sure AS sure
+      FROM c JOIN res x ON x.label = subject JOIN res y ON y.label = object WHERE relation NOT IN ('exists', 'defined_in') AND x.id <> y.id),
+q AS (SELECT p.*, EXISTS (FROM e WHERE e.src = p.src AND e.dst = p.dst AND e.rel = p.rel) AS same, EXISTS (FROM e WHERE e.src = p.src AND e.dst = p.dst) AS fwd,
+             EXISTS (FROM e WHERE e.src = p.dst AND e.dst = p.src AND e.rel = p.rel) AS turned, EXISTS (FROM e WHERE e.src = p.dst AND e.dst = p.src) AS rev FROM p),
+loose AS (SELECT DISTINCT src, dst FROM q WHERE NOT fwd AND NOT rev),
+n1 AS (SELECT DISTINCT src, dst, b AS x FROM loose JOIN u ON a = src), n2 AS (SELECT DISTINCT src, dst, b AS y FROM loose JOIN u ON a = dst),
+near AS (SELECT src, dst FROM n1 JOIN n2 USING (src, dst) WHERE x = y UNION SELECT n1.src, n1.dst FROM n1 JOIN u ON u.a = x JOIN n2 ON n2.src = n1.src AND n2.dst = n1.dst AND n2.y = u.b),
+w AS (SELECT claim_id, CASE WHEN same OR rel = 'connected' AND (fwd OR rev) THEN 3 WHEN fwd THEN 2 WHEN turned AND sure THEN 0 WHEN rev OR near.src IS NOT NULL THEN 2 WHEN sure THEN 0 ELSE 1 END AS worth
+      FROM q LEFT JOIN near ON near.src = q.src AND near.dst = q.dst
+      UNION ALL SELECT claim_id, 3 FROM c WHERE relation = 'exists' AND subject IN (SELECT label FROM res)
+      UNION ALL SELECT claim_id, CASE WHEN bool_or(contains(lower(source_file), lower(object))) THEN 3 WHEN arg_min(sure, rank) THEN 0 ELSE 1 END FROM c JOIN res ON label = subject WHERE relation = 'defined_in' GROUP BY claim_id),
+v AS (SELECT claim_id, insight_id, ['REFUTED', 'UNKNOWN', 'VERIFIED_INDIRECT', 'VERIFIED'][coalesce(max(worth), 1) + 1] AS verdict FROM c LEFT JOIN w USING (claim_id) GROUP BY ALL)"""
+
+
+@query(f"WITH {_VERDICT} SELECT CAST(claim_id AS BIGINT) AS claim_id, verdict FROM v", KG)
 def claim_verdicts(spark, sf):
     n, e = kg(spark, sf)
     return verification.claim_verdicts(claims(spark, sf), n, e)
 
 
-@query(f"WITH {_VERDICT} SELECT verdict, count(*) AS n FROM v GROUP BY verdict")
+@query(f"WITH {_VERDICT} SELECT verdict, count(*) AS n FROM v GROUP BY verdict", KG)
 def verdict_summary(spark, sf):
     n, e = kg(spark, sf)
     return verification.verdict_summary(verification.claim_verdicts(claims(spark, sf), n, e))
@@ -222,7 +245,7 @@ def verdict_summary(spark, sf):
 @query(f"""
 WITH {_VERDICT}, g AS (SELECT insight_id, CASE WHEN bool_and(starts_with(verdict, 'VERIFIED')) THEN 'ADMITTED' ELSE 'REJECTED' END AS status FROM v GROUP BY 1)
 SELECT CAST(insight_id AS BIGINT) AS insight_id, status, CASE WHEN status = 'ADMITTED' THEN 'm' || row_number() OVER (PARTITION BY status ORDER BY insight_id) END AS memory_id FROM g
-""")
+""", KG)
 def memory_admit(spark, sf):
     n, e = kg(spark, sf)
     c = claims(spark, sf)
@@ -233,7 +256,7 @@ def memory_admit(spark, sf):
 WITH {_VERDICT}, g AS (SELECT insight_id, bool_and(starts_with(verdict, 'VERIFIED')) AS good, CASE WHEN insight_id % 2 = 0 THEN 'active' ELSE 'quarantined' END AS was FROM v GROUP BY 1)
 SELECT CAST(insight_id AS BIGINT) AS insight_id, CASE WHEN good THEN 'active' ELSE 'quarantined' END AS status,
  CASE WHEN good AND was = 'quarantined' THEN 'resurrected' WHEN good THEN 'confirmed' WHEN was = 'active' THEN 'quarantined' ELSE 'still_bad' END AS change FROM g
-""")
+""", KG)
 def memory_reverify(spark, sf):
     n, e = kg(spark, sf)
     c = claims(spark, sf)
@@ -389,7 +412,7 @@ def stream_counts(spark, sf):
 @query("SELECT id, count(*) AS degree FROM (SELECT 'U:' || user_id AS id FROM events UNION ALL SELECT 'T:' || event_type FROM events) t GROUP BY id")
 def stream_degree(spark, sf):
     e = read(spark, sf, "events")[0].select(F.concat(F.lit("U:"), "user_id").alias("src"), F.concat(F.lit("T:"), "event_type").alias("dst"))
-    return e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return changes.running_degree(e)
 
 
 @query("""

@@ -65,6 +65,21 @@ def claim_graph(spark):
     return make(spark, CLAIM_NODES, CLAIM_EDGES)
 
 
+def test_claims_of_other_kinds(spark, claim_graph):
+    n, e = claim_graph
+    file = n.where("label = 'auth.py'").first()
+    alone = n.where("label = 'login()' or label = 'login'").first()
+    c = [
+        ("auth.py", "imports", "session.py"), ("login", "exists", ""), ("ghost", "exists", ""), ("login", "defined_in", alone["source_file"]),
+        ("login", "defined_in", "nowhere.xyz"), ("ghost", "defined_in", "a.py"), ("login", "defined_in", ""), ("login", "calls", ""),
+    ]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(c)], "claim_id long, subject string, relation string, object string")
+    e = e.withColumn("relation", F.when(F.col("relation") == "imports", "imports_from").otherwise(F.col("relation")))
+    v = dict(rows(verification.claim_verdicts(df, n, e), "claim_id", "verdict"))
+    assert file and [v[i] for i in range(8)] == ["VERIFIED", "VERIFIED", "UNKNOWN", "VERIFIED", "REFUTED", "UNKNOWN", "UNKNOWN", "UNKNOWN"]
+    assert verification.claims_in("See `login`. `a` depends on `b`. `Box` defines `open`.") == [("login", "exists", ""), ("a", "uses", "b"), ("Box", "contains", "open")]
+
+
 def test_claims(spark, claim_graph):
     n, e = claim_graph
     text = "`login` calls `validate_token`. `validate_token` calls `login`. `Session` extends `BaseModel`. `login` calls `OrphanWidget`. `login` uses `session.py`. `login` calls `nothing`."
@@ -342,6 +357,26 @@ def test_readers(spark, tmp_path):
     assert extract.salvaged_json('so: ```json\n{"a": {"b": 1}}\n``` ok') == {"a": {"b": 1}} and extract.salvaged_json('"1": "One", "2": "Two"') == {"1": "One", "2": "Two"}
     names = spark.createDataFrame([(".env",), ("src/app.py",), (".ssh/config",)], "path string")
     assert names.where(extract.is_sensitive(F.col("path"))).count() == 2
+    for name in ("build", "dist", "bin"):
+        (tmp_path / "src" / name).write_text("#!/bin/sh")
+    (tmp_path / "src" / "yarn.lock").write_text("x")
+    assert [r[0] for r in rows(extract.scan(spark, str(tmp_path / "src")), "path")] == ["a.py", "bin", "build", "dist"]
+
+
+@pytest.mark.parametrize("path, secret", [
+    ("credentials", True), ("notes/credentials/plan.md", True), ("a/.envrc", True), ("x.pfx", True), ("my.crt", True), ("home/.pgpass", True),
+    ("api_token.txt", True), ("token-economics-of-recall.md", False), ("password-policy-discussion.md", False), ("secret_store.txt", True),
+    ("tokenizer.py", False), ("device_token.py", False), ("oauth_token.json", True), ("src/secretary.md", False), (".token", True), ("app/main.go", False),
+])
+def test_secrets_by_folder_name_and_word(spark, path, secret):
+    df = spark.createDataFrame([(path, "x")], "path string, text string")
+    assert df.select(extract.is_sensitive(F.col("path"))).first()[0] == secret
+
+
+def test_survey(spark):
+    files = [("src/a.py", "x"), ("node_modules/b.py", "x"), ("x.egg-info/c.py", "x"), ("secrets/d.md", "x"), ("old/e.md", "x"), ("f.md", "x"), ("go.sum", "x")]
+    df = spark.createDataFrame(files, "path string, text string")
+    assert rows(extract.survey(df, ["old/"]), "path", "kind") == [("f.md", "document"), ("src/a.py", "code")]
 
 
 def test_incremental(spark):
