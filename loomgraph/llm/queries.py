@@ -85,6 +85,49 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
 
+# Components by closure over both directions of the links; the smallest id that is reached names them.
+_REACH = """reach(node, other) AS (SELECT a, b FROM links UNION SELECT node, b FROM reach JOIN links ON other = a),
+comp AS (SELECT node, least(node, min(other)) AS component_id FROM reach GROUP BY node)"""
+
+_OP3 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+          WHERE list_cosine_similarity(x.e, y.e) >= 0.9),
+{_REACH},
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) AS component_id, coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN comp ON node = vec_id
+"""
+
+_WINDOW = ", ".join(f"lead(w, {j}) OVER o" for j in range(1, 20))
+_OP6 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS k FROM d),
+windows AS (SELECT doc_id, k, lead(w, 19) OVER o AS last, concat_ws(' ', w, {_WINDOW}) AS win FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+again AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id, k) > 1 AS late FROM windows WHERE last IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM again WHERE late),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS kept FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+_OP10 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1) + 1))) AS i FROM d) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN comp ON node = d.doc_id
+"""
+
 
 def _sql_text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -116,4 +159,7 @@ FROM n LEFT JOIN texts ON texts.digest = {digest.format("norm")} LEFT JOIN notic
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _OP7, "op9_license_scan": _op9()}
+    return {
+        "op3_embedding_near_dedup": _OP3, "op6_substring_dedup": _OP6, "op7_url_filter": _OP7,
+        "op9_license_scan": _op9(), "op10_minhash_near_dedup": _OP10,
+    }

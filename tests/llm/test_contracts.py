@@ -718,7 +718,7 @@ def test_sql_twins(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{TINY}/{t}.parquet'")
     want = c.execute(q.oracle_sql()[name])
     cols = [d[0] for d in want.description]
@@ -727,6 +727,26 @@ def test_sql_twins(spark, name):
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in cols)) for r in mine.collect())
 
 
+def test_sql_twin_of_planted_vectors(spark):
+    """The generated vectors hold no pair that links, so the twin is also held to some that do."""
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 32))
+    near = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0.0, 0.2, 0.4, 0.6)])
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(near)]
+    rows += [(900, None), (901, [0.0] * 32), (902, [float("nan")] + [1.0] * 31), (903, [1.0, None])]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    c.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    want = c.execute(q.oracle_sql()["op3_embedding_near_dedup"])
+    cols = [d[0] for d in want.description]
+    want = sorted(want.fetchall())
+    mine = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sum(not r[cols.index("kept")] for r in want) >= 40
+    assert sorted(tuple(r[c] for c in cols) for r in mine.collect()) == want
+
+
 # 10 -----------------------------------------------------------------------------------------------
 
 
