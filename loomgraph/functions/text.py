@@ -122,6 +122,7 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.length(a) == F.length(b)) & ((F.size(at) <= 1) | swap)
 
 
+#: Fixed value: how a label splits into stem and ending.
 _VARIANT = r"^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$"
 
 
@@ -211,11 +212,11 @@ def is_sentence(c: Column) -> Column:
 
 
 def size_literal(c: Column, default: int = 0) -> Column:
-    """Bytes of texts such as ``640MB``."""
+    """Bytes of texts such as ``640MB``; what isn't one, null included, gives the default."""
     n = F.regexp_extract(F.trim(c), r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*([kmgt]?)i?b?$", 1)
     unit = F.upper(F.regexp_extract(F.trim(c), r"(?i)^([0-9]+(?:\.[0-9]+)?)\s*([kmgt]?)i?b?$", 2))
     scale = by_map(unit, {"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30, "T": 1 << 40})
-    return F.when(n == "", F.lit(default)).otherwise((n.try_cast("double") * scale).cast("long")).cast("long")
+    return F.when(n.isNull() | (n == ""), F.lit(default)).otherwise((n.try_cast("double") * scale).cast("long")).cast("long")
 
 
 def node_kind(label: Column, file_type: Column, source_file: Column) -> Column:

@@ -14,11 +14,14 @@ NOISE = ("package-lock.json", "yarn.lock", "poetry.lock", "Cargo.lock", "go.sum"
 MIN_EDITS, MIN_SUPPORT, MIN_CONFIDENCE, MAX_FILES, PARTNERS, DANGER = 3, 3, 0.5, 50, 8, 0.30
 
 
-def parse_log(log: DataFrame) -> DataFrame:
-    """``commit_id, subject, path`` from ``value``: commits start with U+0001, the subject ends at U+0002, paths by line."""
-    c = log.select(F.posexplode(F.split("value", "\x01")).alias("commit_id", "c")).where("c like '%\x02%'")
-    c = c.select("commit_id", F.split_part("c", F.lit("\x02"), F.lit(1)).alias("subject"), F.split_part("c", F.lit("\x02"), F.lit(2)).alias("files"))
-    return c.select("commit_id", F.trim("subject").alias("subject"), F.explode(F.split("files", "\n")).alias("path")).where("trim(path) <> ''")
+def parse_log(log: DataFrame, *keep: str) -> DataFrame:
+    """``commit_id, subject, path`` from ``value``: commits start with U+0001, the subject ends at U+0002, paths by line.
+
+    A commit's number is its place in its row; where there are several logs, the columns ``keep`` tell them apart.
+    """
+    c = log.select(*keep, F.posexplode(F.split("value", "\x01")).alias("commit_id", "c")).where("c like '%\x02%'")
+    c = c.select(*keep, "commit_id", F.split_part("c", F.lit("\x02"), F.lit(1)).alias("subject"), F.split_part("c", F.lit("\x02"), F.lit(2)).alias("files"))
+    return c.select(*keep, "commit_id", F.trim("subject").alias("subject"), F.explode(F.split("files", "\n")).alias("path")).where("trim(path) <> ''")
 
 
 def quiet(commits: DataFrame) -> DataFrame:

@@ -64,7 +64,7 @@ def pr_conflicts(impact: DataFrame) -> DataFrame:
 def pr_ladder(prs: DataFrame) -> DataFrame:
     """``number, status, rank``: draft, failing, changes requested, pending, approved, open."""
     s = (
-        F.when("is_draft" if isinstance("is_draft", bool) else F.col("is_draft"), "draft").when(F.col("ci_status") == "FAILURE", "failing")
+        F.when(F.col("is_draft"), "draft").when(F.col("ci_status") == "FAILURE", "failing")
         .when(F.col("review_decision") == "CHANGES_REQUESTED", "changes").when(F.col("ci_status") == "PENDING", "pending")
         .when(F.col("review_decision") == "APPROVED", "approved").otherwise("open")
     )

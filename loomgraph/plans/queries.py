@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgraph.plans import graph_queries, identity_queries, text_queries  # noqa: F401  (they register themselves)
+from loomgraph.plans import graph_queries, identity_queries, record_queries, text_queries  # noqa: F401  (they register themselves)
 from loomgraph.plans.registry import ORACLES, QUERIES
 
 

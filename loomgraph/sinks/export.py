@@ -117,12 +117,18 @@ def hub_article(nodes: DataFrame, edges: DataFrame, node: str, per_relation: int
 
 
 def safe_names(labels: DataFrame) -> DataFrame:
-    """``id, name``: file names without reserved characters, 200 bytes at most, unique whatever the case."""
+    """``id, name``: file names without reserved characters, 200 bytes at most, unique whatever the case.
+
+    Copies of a name are numbered; a numbered name that another label has already gets a digest of its id as well.
+    """
     clean = F.trim(F.regexp_replace("label", r'[\\/:*?"<>|#^\[\]\x00-\x1f]+', " "))
-    base = F.when(clean == "", F.lit("unnamed")).otherwise(F.substring(clean, 1, 60))
+    base = F.when(clean == "", F.lit("unnamed")).otherwise(F.substring(clean, 1, 40))
     n = labels.select("id", base.alias("base"))
     k = F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("id"))
-    return n.withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))).alias("name"))
+    n = n.withColumn("k", k).withColumn("name", F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("k").cast("string"))))
+    again = (F.col("k") > 1) & (F.count(F.lit(1)).over(Window.partitionBy(F.lower("name"))) > 1)
+    mark = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 16)
+    return n.select("id", F.when(again, F.concat_ws("_", "name", mark)).otherwise(F.col("name")).alias("name"))
 
 
 def report(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> str:

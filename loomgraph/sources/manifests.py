@@ -7,7 +7,7 @@ import re
 import tomllib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import normalize_id
@@ -139,6 +139,15 @@ def interpreter(first_line: str | None) -> str | None:
     return re.sub(r"[0-9.]+$", "", prog) or None
 
 
+def interpreter_column(first_line: Column) -> Column:
+    """The same as a column expression."""
+    words = F.split(F.trim(F.regexp_extract(first_line, r"^#!\s*(\S.*)", 1)), r"\s+")
+    args = F.filter(F.slice(words, 2, 1000), lambda a: ~a.startswith("-") & ~a.rlike(r"^\w+="))
+    prog = F.substring_index(F.get(words, F.lit(0)), "/", -1)
+    prog = F.when(prog == "env", F.substring_index(F.get(args, F.lit(0)), "/", -1)).otherwise(prog)
+    return F.nullif(F.regexp_replace(prog, r"[0-9.]+$", ""), F.lit(""))
+
+
 def conversations_documents(conversations: DataFrame) -> DataFrame:
     """``doc, text`` of dialogues, turns in order."""
     g = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))

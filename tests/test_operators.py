@@ -11,7 +11,7 @@ from loomgraph.functions import text as X
 from loomgraph.operators import analysis, community, components, entities, graph, history, incremental, iterate, packing, search, verification
 from loomgraph.plans import graph_queries
 from loomgraph.sinks import export
-from loomgraph.sources import extract
+from loomgraph.sources import extract, manifests
 from loomgraph.streaming import changes
 
 TINY = "/root/testdata/sf0.001"
@@ -483,3 +483,26 @@ def test_components_with_a_hub(spark, monkeypatch, heavy):
     want = {n: 0 for n in [*range(60), 900, 901]} | {n: 1000 for n in range(1000, 1031)} | {5000: 5000, 7000: 7000, 7001: 7000}
     assert {r["node"]: r["component"] for r in out} == want and len(out) == len(want)
     assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_interpreter_as_a_column(spark):
+    lines = ["#!/bin/sh", "#! /usr/bin/env -S A=1 node --x", "#!/usr/bin/env", "#!", "plain", "", None, "#!/opt/python3.12 -u", "#!/usr/bin/env -i perl5"]
+    d = spark.createDataFrame(list(enumerate(lines)), "k int, line string")
+    got = dict(rows(d.select("k", manifests.interpreter_column(F.col("line")).alias("p"))))
+    assert got == {k: manifests.interpreter(line) for k, line in enumerate(lines)}
+
+
+def test_numbered_names_stay_unique(spark):
+    labels = spark.createDataFrame([("1", "a"), ("2", "A"), ("3", "a_2"), ("4", "\U0001f600" * 300)], "id string, label string")
+    names = [r["name"] for r in export.safe_names(labels).collect()]
+    assert len({n.lower() for n in names}) == 4 and max(len(n.encode()) for n in names) <= 200
+
+
+def test_logs_of_several_rows(spark):
+    d = spark.createDataFrame([("x", "\x01a\x02\nf\n\x01b\x02\ng\n"), ("y", "\x01c\x02\nf\n"), ("z", None)], "repo string, value string")
+    assert rows(history.parse_log(d, "repo")) == [("x", 1, "a", "f"), ("x", 2, "b", "g"), ("y", 1, "c", "f")]
+
+
+def test_size_of_no_literal(spark):
+    d = spark.createDataFrame([(None,), ("",), ("x",), ("2k",)], "s string")
+    assert [r[0] for r in d.select(X.size_literal(F.col("s"), 5)).collect()] == [5, 5, 5, 2048]
