@@ -12,48 +12,74 @@ from loomgraph.runtime import checkpoint
 #: Relations along which a change spreads to its users, and those that own members.
 IMPACT = ("calls", "indirect_call", "imports", "imports_from", "references", "uses", "inherits", "implements", "extends", "mixes_in", "embeds", "re_exports")
 MEMBERS = ("method", "contains")
+#: Steps of one start that stay together; a start with more of them is spread.
+HEAVY = 100_000
 
 
-def dealt(steps: DataFrame) -> DataFrame:
-    """Steps kept by their start for all levels of a walk: only frontiers are shuffled then.
+def dealt(steps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(steps, heavy): steps kept by their start for all levels of a walk, so that only frontiers are shuffled then.
 
-    A lost executor's part is computed again from its lineage. The walk's own results are checkpointed.
+    The steps of a start with more than ``HEAVY`` of them are spread over parts of that size; ``heavy`` (start, parts)
+    says which, or is None where no start has so many. A lost executor's part is computed again from its lineage; the walk's own results are checkpointed.
     """
-    return steps.repartition("a").persist()
+    heavy = steps.groupBy(F.col("a").alias("start")).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HEAVY)
+    heavy = checkpoint(heavy.select("start", F.ceil(F.col("k") / HEAVY).cast("int").alias("parts")))
+    if not heavy.limit(1).count():
+        return steps.repartition("a").persist(), None
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), "parts")).cast("int")
+    placed = steps.join(heavy, steps["a"] == heavy["start"], "left").withColumn("part", part).drop("start", "parts")
+    return placed.repartition("a", "part").persist(), heavy
+
+
+def stepped(front: DataFrame, steps: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``front`` (id, ...) joined with the steps that leave it; only a heavy node's row is copied, once for each part."""
+    if heavy is None:
+        return front.join(steps, front["id"] == steps["a"])
+    at = front.join(heavy, front["id"] == heavy["start"], "left")
+    at = at.withColumn("at", F.explode(F.expr("sequence(0, coalesce(parts, 1) - 1)"))).drop("start", "parts")
+    return at.join(steps, (at["id"] == steps["a"]) & (at["at"] == steps["part"])).drop("at", "part")
 
 
 def walk(steps: DataFrame, seeds: DataFrame, max_depth: int, blocked: DataFrame | None = None, track: bool = False) -> DataFrame:
     """``id, depth`` (and ``parent, relation`` with ``track``) first reached from ``seeds`` (id) along ``steps``.
 
     ``steps``: a, b, relation. Nodes of ``blocked`` (id) are reached but not walked on from, unless they are
-    seeds. Among several ways to a node at its first depth the smallest (relation, parent) counts.
+    seeds: their steps go before any are dealt. Among several ways to a node at its first depth the smallest
+    (relation, parent) counts. Levels are added to what has been seen; none is written twice.
     """
     cols = ["id", "depth"] + (["relation", "parent"] if track else [])
-    steps = dealt(steps)
+    base = steps = steps.persist()  # counted, then dealt
+    if blocked is not None:
+        stops = blocked.select(F.col("id").alias("a")).join(seeds.select(F.col("id").alias("a")), "a", "left_anti")
+        steps = steps.join(stops, "a", "left_anti")
+    steps, heavy = dealt(steps)
     null = F.lit(None).cast("string")
     seen = checkpoint(seeds.select("id", F.lit(0).alias("depth"), null.alias("relation"), null.alias("parent")).distinct())
     front = seen.select("id")
     for level in range(1, max_depth + 1):
-        if level > 1 and blocked is not None:
-            front = front.join(blocked.select("id"), "id", "left_anti")
-        new = front.join(steps, front["id"] == steps["a"]).select(F.col("b").alias("id"), "relation", F.col("a").alias("parent"))
+        new = stepped(front, steps, heavy).select(F.col("b").alias("id"), "relation", F.col("a").alias("parent"))
         new = new.join(seen.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("relation", "parent")).alias("m"))
         new = checkpoint(new.select("id", F.lit(level).alias("depth"), "m.relation", "m.parent"))
         if not new.limit(1).count():
             break
-        seen = checkpoint(seen.unionByName(new))
+        seen = seen.unionByName(new)
         front = new.select("id")
     steps.unpersist()
+    base.unpersist()
     return seen.select(*cols)
 
 
 def bfs(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, directed: bool = False) -> DataFrame:
     """``id, depth`` around the seeds; hubs (degree of the 99th percentile, 50 at least) stop the walk."""
-    d = degree(nodes, edges)
+    ways = edges.select("src", "dst", "relation").persist()  # read for the degrees, then for the steps
+    d = checkpoint(degree(nodes, ways))
     limit = F.greatest(F.lit(50), "threshold")
-    hubs = d.join(F.broadcast(degree_at(d, 0.99)), F.col("degree") >= limit).select("id")
-    steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation") if directed else both_directions(edges.select("src", "dst", "relation"))
-    return walk(steps, seeds, depth, hubs)
+    # the threshold is one row
+    hubs = checkpoint(d.join(F.broadcast(degree_at(d, 0.99)), F.col("degree") >= limit).select("id"))
+    steps = ways.select(F.col("src").alias("a"), F.col("dst").alias("b"), "relation") if directed else both_directions(ways)
+    found = walk(steps, seeds, depth, hubs)
+    ways.unpersist()
+    return found
 
 
 def reverse_impact(edges: DataFrame, seed: str, depth: int = 2, relations: tuple[str, ...] = IMPACT) -> DataFrame:
@@ -82,7 +108,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
     as the sum of both radii when its frontiers first share a node. Pairs that are found leave, and levels are added
     to what has been seen instead of rewriting it.
     """
-    steps = dealt(both_directions(edges.select("src", "dst")).distinct())
+    base = both_directions(edges.select("src", "dst")).distinct().persist()
+    steps, heavy = dealt(base)
     open_ = checkpoint(pairs.select("src", "dst").distinct())
     found = open_.where("src = dst").select("src", "dst", F.lit(0).alias("hops"))
     open_ = open_.where("src <> dst")
@@ -91,7 +118,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
     for level in range(1, max_hops + 1):
         end = "src" if level % 2 else "dst"
         live = front[end].join(open_.select(F.col(end).alias("origin")).distinct(), "origin", "left_semi")
-        new = live.join(steps, live["id"] == steps["a"]).select("origin", F.col("b").alias("id")).distinct()
+        new = stepped(live, steps, heavy).select("origin", F.col("b").alias("id")).distinct()
         new = checkpoint(new.join(seen[end], ["origin", "id"], "left_anti"))
         front[end], seen[end] = new, seen[end].unionByName(new)
         ahead = front["src"].select(F.col("origin").alias("src"), "id")
@@ -102,6 +129,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 8) -> Dat
         if not open_.limit(1).count() or not new.limit(1).count():
             break
     steps.unpersist()
+    base.unpersist()
     return found
 
 

@@ -506,3 +506,20 @@ def test_logs_of_several_rows(spark):
 def test_size_of_no_literal(spark):
     d = spark.createDataFrame([(None,), ("",), ("x",), ("2k",)], "s string")
     assert [r[0] for r in d.select(X.size_literal(F.col("s"), 5)).collect()] == [5, 5, 5, 2048]
+
+
+@pytest.mark.parametrize("heavy", [2, 100_000])
+def test_walks_with_spread_hubs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(iterate, "HEAVY", heavy)
+    links = [("h", f"x{i}") for i in range(60)] + [("x3", "y"), ("y", "z"), ("z", "h"), ("s", "h"), ("q", "q")]
+    e = spark.createDataFrame([(a, b, "calls") for a, b in links], "src string, dst string, relation string")
+    n = spark.createDataFrame([(i,) for i in sorted({x for link in links for x in link})], "id string")
+    seed = lambda x: spark.createDataFrame([(x,)], "id string")
+    # h is a hub: it is reached, not walked on from, unless it is the seed
+    assert rows(iterate.bfs(n, e, seed("s"), 3)) == [("h", 1), ("s", 0)]
+    far = dict(rows(iterate.bfs(n, e, seed("h"), 2)))
+    assert far["y"] == 2 and far["z"] == 1 and sum(d == 1 for d in far.values()) == 62 and "q" not in far
+    back = dict((r["id"], r["depth"]) for r in iterate.reverse_impact(e, "y", 3).collect())
+    assert back == {"x3": 1, "h": 2, "s": 3, "z": 3}
+    pairs = spark.createDataFrame([("s", "y"), ("x1", "x2"), ("s", "q"), ("s", "s")], "src string, dst string")
+    assert rows(iterate.shortest_paths(e, pairs)) == [("s", "s", 0), ("s", "y", 3), ("x1", "x2", 2)]
