@@ -433,7 +433,22 @@ def cost_estimate(spark, sf):
     return packing.cost(d, {"a": 3.0, "b": 0.25})
 
 
-@query()
+def _last(mark: str, backwards: str) -> str:
+    """End of a slice before the last ``mark`` of its window ``w`` (null without one, or where the window begins with it)."""
+    at = f"length(w) - position({backwards} IN reverse(w)) - length({mark}) + 1"
+    return f"CASE WHEN contains(w, {mark}) AND {at} > 0 THEN b + {at} + 1 END"
+
+
+_SLICE_END = f"""CASE WHEN b + 4000 >= n THEN n ELSE coalesce({_last("chr(10) || '#'", "('#' || chr(10))")}, {_last("chr(10) || chr(10)", "(chr(10) || chr(10))")},
+  {_last("chr(10)", "chr(10)")}, b + 4000) END"""
+
+
+@query(f"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS path, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT path, 0::BIGINT AS part, b, CAST({_SLICE_END} AS BIGINT) AS e FROM (SELECT path, n, 0::BIGINT AS b, substr(text, 1, 4000) AS w FROM d WHERE n > 0) t
+  UNION ALL SELECT path, part + 1, b, CAST({_SLICE_END} AS BIGINT) FROM (SELECT s.path, s.part, d.n, s.e AS b, substr(d.text, s.e + 1, 4000) AS w FROM s JOIN d USING (path) WHERE s.e < d.n) t)
+SELECT path, part, b AS "start", e AS "end" FROM s
+""")
 def document_slices(spark, sf):
     d = read(spark, sf, "documents")[0]
     return extract.slices(d.select(F.col("doc_id").cast("string").alias("path"), "text"))
