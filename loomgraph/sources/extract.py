@@ -18,6 +18,8 @@ EDGE = "struct<src:string,dst:string,relation:string,confidence:string,source_fi
 FRAGMENT = f"path string, nodes array<{NODE}>, edges array<{EDGE}>, raw_calls array<struct<caller:string,callee:string,is_member:boolean>>, error string"
 #: Extractors by suffix: fn(path, text) -> (nodes, edges, raw calls) as tuples in the order of the schema.
 REGISTRY: dict[str, Callable] = {}
+#: Suffixes whose extractors take a file's bytes.
+BINARY: set[str] = set()
 # Folders that hold no sources, generated files, and what a research paper's first page tends to say.
 NOISE_DIRS = (
     "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages",
@@ -47,12 +49,18 @@ def register_extractor(suffix: str, fn: Callable) -> None:
     REGISTRY[suffix.lower()] = fn
 
 
-def scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, text`` of the files under a folder, noise folders and generated files left out."""
+def extractor(path: str, registry: dict[str, Callable]) -> str | None:
+    """The suffix under which a file's extractor is registered; one of two parts (``x.blade.php``) goes first."""
+    name = path.rsplit("/", 1)[-1].lower().split(".")
+    return next((s for s in (".".join(name[-2:]) if len(name) > 2 else "", name[-1]) if s in registry), None)
+
+
+def scan(spark: SparkSession, root: str, pattern: str = "*", content: bool = False) -> DataFrame:
+    """``path, text`` of the files under a folder, noise folders and generated files left out; on request their ``content``."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     rel = F.regexp_replace("path", r"^(file:|[a-z0-9]+://[^/]*)?/*", "")
     base = re.sub(r"^([a-z]+:)?/*", "", root.rstrip("/")) + "/"
-    out = raw.select(F.replace(rel, F.lit(base), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    out = raw.select(F.replace(rel, F.lit(base), F.lit("")).alias("path"), F.decode("content", "UTF-8").alias("text"), *(["content"] if content else []))
     return out.where(~is_noise(F.col("path")))
 
 
@@ -313,25 +321,33 @@ for _s, _fn in (("md", extract_markdown), ("markdown", extract_markdown), ("py",
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """A fragment for each (path, text) whose suffix has an extractor; a failure is reported in ``error``."""
-    registry = dict(REGISTRY)
+    """A fragment for each (path, text) whose suffix has an extractor; a failure is reported in ``error``.
+
+    Extractors of binary files need a column ``content`` beside the text.
+    """
+    registry, binary = dict(REGISTRY), set(BINARY)
+    columns = ["path", "text"] + (["content"] if "content" in files.columns else [])
     fields = [["id", "label", "file_type", "source_file", "source_location"], ["src", "dst", "relation", "confidence", "source_file", "context"], ["caller", "callee", "is_member"]]
 
     def work(frames):
         for pdf in frames:
             rows = []
-            for path, text in zip(pdf["path"], pdf["text"]):
-                fn = registry.get(path.rsplit(".", 1)[-1].lower())
-                if fn is None:
+            for path, text, *content in zip(*(pdf[c] for c in columns)):
+                suffix = extractor(path, registry)
+                if suffix is None:
                     continue
                 try:
-                    parts, error = fn(path, text or ""), None
+                    if suffix in binary:
+                        if not content or content[0] is None:
+                            raise ValueError("no content")
+                        text = content[0]
+                    parts, error = registry[suffix](path, text or ""), None
                 except Exception as e:  # a file that can't be parsed is a result, not a failure of the job
                     parts, error = ([], [], []), f"{type(e).__name__}: {e}"
                 rows.append((path, *([dict(zip(names, r)) for r in part] for names, part in zip(fields, parts)), error))
             yield pd.DataFrame(rows, columns=["path", "nodes", "edges", "raw_calls", "error"])
 
-    return files.select("path", "text").mapInPandas(work, FRAGMENT)
+    return files.select(*columns).mapInPandas(work, FRAGMENT)
 
 
 def exploded(fragments: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -440,3 +456,6 @@ def salvaged_json(text: str) -> dict | None:
         except ValueError:
             continue
     return dict(re.findall(r'"([^"]+)"\s*:\s*"([^"]+)"', body)) or None
+
+
+from loomgraph.sources import forms  # noqa: E402, F401  (its extractors register themselves)
