@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions import safety
 from loomgraph.functions import text as X
 from loomgraph.operators import history, incremental, packing, resolution, verification
 from loomgraph.plans.graph_queries import KG, kg
 from loomgraph.plans.registry import query
-from loomgraph.sinks import export
+from loomgraph.sinks import drawing, export
 from loomgraph.sources import extract, manifests
 from loomgraph.sources.star import read
 
@@ -235,3 +236,52 @@ SELECT p_partkey AS id, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS n
 def safe_file_names(spark, sf):
     (p,) = read(spark, sf, "part")
     return export.safe_names(p.selectExpr("p_partkey AS id", f"concat(CASE WHEN p_partkey % 2 = 0 THEN upper({WORD}) ELSE {WORD} END, '?:') AS label"))
+
+
+_LINK = """CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN concat('ftp', substr(url, 5)) WHEN 2 THEN concat('http://', page_id % 256, '.', page_id * 7 % 256, '.3.4:80/x')
+ WHEN 3 THEN concat('https://user@172.', page_id % 40, '.1.1?q') WHEN 4 THEN 'HTTP://Metadata.Google.Internal./v1' WHEN 5 THEN concat('http://100.', page_id % 256, '.0.9#f')
+ WHEN 6 THEN concat('http://', page_id * 40000000) ELSE concat('http://192.', page_id % 3 * 84, '.', page_id % 5, '.7/') END AS link"""
+
+
+@query(f"""
+WITH l AS (SELECT page_id, {_LINK} FROM pages),
+h AS (SELECT *, lower(split_part(link, ':', 1)) AS scheme, rtrim(split_part(regexp_replace(lower(regexp_extract(link, '://([^/?#]*)', 1)), '^.*@', ''), ':', 1), '.') AS host FROM l),
+a AS (SELECT *, regexp_matches(host, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') AS quad, TRY_CAST(split_part(host, '.', 1) AS BIGINT) AS a, TRY_CAST(split_part(host, '.', 2) AS BIGINT) AS b, TRY_CAST(split_part(host, '.', 3) AS BIGINT) AS c FROM h)
+SELECT page_id, link, CASE WHEN scheme NOT IN ('http', 'https') THEN 'scheme' WHEN host IN ('metadata.google.internal', 'metadata.google.com') THEN 'host'
+  WHEN regexp_matches(host, '^[0-9]+$') THEN 'address'
+  WHEN quad AND (a IN (0, 10, 127) OR a >= 240 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168)
+    OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113)) THEN 'address' END AS refusal
+FROM a
+""")
+def url_safety(spark, sf):
+    (p,) = read(spark, sf, "pages")
+    return p.selectExpr("page_id", _LINK).select("page_id", "link", safety.url_refusal(F.col("link")).alias("refusal"))
+
+
+_WAY = f"""concat(CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/srv/graph/' WHEN 2 THEN '/srv/graphs/' ELSE './' END, {BRAND}, repeat('/..', CAST(p_size % 5 AS INT)), '//x/./',
+ CASE p_partkey % 3 WHEN 0 THEN 'graph.json' WHEN 1 THEN '../graph/y' ELSE '..' END) AS path"""
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {_WAY} FROM part),
+r AS (SELECT *, list_reduce(list_prepend('', str_split(CASE WHEN path LIKE '/%' THEN path ELSE '/srv/graph/' || path END, '/')),
+  lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x IN ('', '.') THEN acc ELSE acc || '/' || x END) AS full_path FROM p)
+SELECT p_partkey, path, full_path = '/srv/graph' OR full_path LIKE '/srv/graph/%' AS allowed FROM r
+""")
+def path_safety(spark, sf):
+    (p,) = read(spark, sf, "part")
+    return p.selectExpr("p_partkey", _WAY).select("p_partkey", "path", safety.inside(F.col("path"), "/srv/graph").alias("allowed"))
+
+
+@query("""
+WITH s AS (SELECT community, count(*) AS n, row_number() OVER (ORDER BY community) - 1 AS k, CAST(ceil(sqrt(count(*) OVER ())) AS BIGINT) AS across FROM kg_nodes GROUP BY 1),
+b AS (SELECT *, k % across AS c, k // across AS r, CAST(ceil(sqrt(n)) AS BIGINT) AS cols FROM s),
+z AS (SELECT *, greatest(600, 220 * cols) AS w, greatest(400, 100 * CAST(ceil(n / cols::DOUBLE) AS BIGINT) + 120) AS h FROM b),
+cx AS (SELECT c, coalesce(sum(m) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 80 * c AS x FROM (SELECT c, max(w) AS m FROM z GROUP BY 1) t),
+ry AS (SELECT r, coalesce(sum(m) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 80 * r AS y FROM (SELECT r, max(h) AS m FROM z GROUP BY 1) t),
+n AS (SELECT id, community, row_number() OVER (PARTITION BY community ORDER BY label, id) - 1 AS i FROM kg_nodes)
+SELECT id, CAST(community AS BIGINT) AS community, CAST(x + 20 + (i % cols) * 200 AS BIGINT) AS x, CAST(y + 80 + (i // cols) * 80 AS BIGINT) AS y
+FROM n JOIN z USING (community) JOIN cx USING (c) JOIN ry USING (r)
+""", KG)
+def canvas_layout(spark, sf):
+    return drawing.canvas_cards(kg(spark, sf)[0])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,46 @@ def export_rows(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     return n, e
 
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = False) -> None:
-    """JSON lines under ``path/nodes`` and ``path/edges``; refuses to write fewer nodes than are there."""
+def _content(df: DataFrame) -> tuple:
+    """Number and digest of the lines of a table, whatever their order."""
+    h = [F.sum(F.xxhash64(F.lit(seed), "value").cast("decimal(38,0)")) for seed in (0, 1)]
+    return tuple(df.agg(F.count(F.lit(1)), *h).first())
+
+
+def backup_graph(spark, path: str, stamp: str, always: bool = False) -> str | None:
+    """Copy the snapshot under ``path`` to ``path/backup/stamp`` and return that folder; without a snapshot None.
+
+    Only a curated graph is copied unless ``always``: one in which a community has a name other than ``Community <n>``.
+    An equal copy stays, another one of the same stamp is replaced.
+    """
+    def lines(folder: str) -> DataFrame | None:
+        try:
+            return spark.read.text(folder)
+        except AnalysisException as err:
+            if "PATH_NOT_FOUND" not in str(err):
+                raise
+            return None
+
+    now = {part: lines(f"{path}/{part}") for part in ("nodes", "edges")}
+    if now["nodes"] is None:
+        return None
+    if not always:
+        named = F.get_json_object("value", "$.community_name"), F.get_json_object("value", "$.community")
+        if now["nodes"].where(named[0].isNotNull() & (named[0] != F.concat(F.lit("Community "), F.coalesce(named[1], F.lit(""))))).isEmpty():
+            return None
+    folder = f"{path}/backup/{stamp}"
+    for part, df in now.items():
+        old = lines(f"{folder}/{part}")
+        if df is not None and (old is None or _content(old) != _content(df)):
+            df.write.mode("overwrite").text(f"{folder}/{part}")
+    return folder
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = False, backup: str | None = None) -> None:
+    """JSON lines under ``path/nodes`` and ``path/edges``; refuses to write fewer nodes than are there.
+
+    With a stamp as ``backup`` a curated snapshot is copied before it is replaced.
+    """
     spark = nodes.sparkSession
     n, e = export_rows(nodes, edges)
     if not force:
@@ -39,6 +78,8 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, force: bool = Fal
             before = 0
         if n.count() < before:
             raise ValueError(f"refusing to replace {before} nodes by fewer; use force")
+    if backup:
+        backup_graph(spark, path, backup)
     n.write.mode("overwrite").json(f"{path}/nodes")
     e.write.mode("overwrite").json(f"{path}/edges")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.incremental import merge_graph
@@ -73,3 +73,22 @@ def upsert_graph(path: str):
         e.write.mode("overwrite").parquet(f"{path}/edges/{epoch}")
 
     return apply
+
+
+class Reloaded:
+    """A table that is read again once its files have changed: by newest time, bytes and number of files."""
+
+    def __init__(self, spark: SparkSession, path: str, read):
+        self.spark, self.path, self.read = spark, path, read
+        self._version, self._table = None, None
+
+    def version(self) -> tuple:
+        # names, times and sizes only: the scan doesn't open the files
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.path)
+        return tuple(files.agg(F.max("modificationTime"), F.sum("length"), F.count(F.lit(1))).first())
+
+    def get(self) -> DataFrame:
+        now = self.version()
+        if now != self._version:
+            self._table, self._version = self.read(self.path), now
+        return self._table
