@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import safety
 from loomgraph.functions import text as X
-from loomgraph.operators import history, incremental, packing, resolution, verification
+from loomgraph.operators import history, incremental, packing, resolution, sections, verification
 from loomgraph.plans.graph_queries import KG, kg
 from loomgraph.plans.registry import query
 from loomgraph.sinks import drawing, export
@@ -285,3 +285,51 @@ FROM n JOIN z USING (community) JOIN cx USING (c) JOIN ry USING (r)
 """, KG)
 def canvas_layout(spark, sf):
     return drawing.canvas_cards(kg(spark, sf)[0])
+
+
+_FUNCTION = f"SELECT concat('f', p_partkey) AS id, concat({WORD}, p_partkey * 7 % 997, '()') AS label, 'code' AS file_type, concat('parts/', lower({BRAND}), '.py') AS source_file FROM part"
+_CALL = f"SELECT concat('f', p_partkey) AS caller, upper(concat({WORD}, p_partkey * 11 % 997)) AS callee, p_partkey % 5 = 0 AS is_member, concat('parts/', lower({BRAND}), '.py') AS source_file FROM part"
+_NEEDS = """SELECT concat('file:', source_file) AS src, CASE WHEN p % 2 = 0 THEN concat('parts_', other) ELSE other END AS dst, 'imports_from' AS relation, 'EXTRACTED' AS confidence, source_file
+ FROM (SELECT DISTINCT concat('parts/', lower(replace(p_brand, '#', '')), '.py') AS source_file, concat('brand', 1 + p_size % 25) AS other, p_size % 2 AS p FROM part WHERE p_partkey % 3 = 0) t
+ UNION ALL SELECT concat('f', p_partkey), concat('f', p_partkey + 1), 'calls', 'EXTRACTED', 'x.py' FROM part"""
+
+
+@query(f"""
+WITH n AS ({_FUNCTION}), c AS ({_CALL}), e AS ({_NEEDS}),
+i AS (SELECT lower(replace(label, '()', '')) AS k, id AS dst, source_file AS df FROM n),
+j AS (SELECT DISTINCT caller, i.k, i.dst, CASE WHEN df = c.source_file THEN 0 WHEN m.dst IS NOT NULL THEN 1 ELSE 2 END AS tier
+  FROM c JOIN i ON lower(callee) = i.k AND caller <> i.dst
+  LEFT JOIN e m ON m.relation = 'imports_from' AND m.source_file = c.source_file AND replace(m.dst, 'parts_', '') = regexp_extract(df, '/(.*)[.]py$', 1)
+  WHERE NOT is_member),
+b AS (SELECT caller, k, min(tier) AS tier FROM j GROUP BY 1, 2),
+g AS (SELECT caller, k, tier, count(DISTINCT dst) AS n, min(dst) AS dst FROM j JOIN b USING (caller, k, tier) GROUP BY 1, 2, 3)
+SELECT caller AS src, g.dst, 'calls' AS relation, CASE WHEN min(tier) < 2 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence
+FROM g WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = caller AND e.dst = g.dst) GROUP BY ALL
+""")
+def call_resolution(spark, sf):
+    (p,) = read(spark, sf, "part")
+    n, c, e = (spark.sql(sql.replace("FROM part", "FROM {part}"), part=p) for sql in (_FUNCTION, _CALL, _NEEDS))
+    return extract.resolved_calls(n, e, c)
+
+
+@query(f"""
+WITH s AS (SELECT split_part(source_file, '/', 1) AS section, count(*) AS n FROM kg_nodes GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, section) AS k FROM s)
+SELECT CASE WHEN k <= 3 THEN section ELSE 'other' END AS section, CAST(sum(n) AS BIGINT) AS n, min(k) AS rank FROM r GROUP BY 1
+""", KG)
+def section_ranks(spark, sf):
+    n = kg(spark, sf)[0]
+    return sections.ranked_sections(n.select(F.split_part("source_file", F.lit("/"), F.lit(1)).alias("section")), 3)
+
+
+_INSIGHT = f"concat(p_name, ' of ', {BRAND})"
+
+
+@query(f"""
+WITH m AS (SELECT p_partkey AS insight_id, regexp_extract_all(lower({_INSIGHT}), '[a-z0-9_]+') AS w, list_transform(str_split(p_type, ' '), lambda x: lower(x)) AS a FROM part),
+s AS (SELECT insight_id, CAST(list_sum(list_transform(['promo', 'economy', 'small', 'widget', 'brand19'], lambda t: CASE WHEN list_contains(a, t) THEN 2 WHEN list_contains(w, t) THEN 1 ELSE 0 END)) AS BIGINT) AS score FROM m)
+SELECT insight_id, score FROM s WHERE score > 0 ORDER BY score DESC, insight_id LIMIT 25
+""")
+def insight_recall(spark, sf):
+    (p,) = read(spark, sf, "part")
+    memory = p.selectExpr("p_partkey AS insight_id", f"{_INSIGHT} AS insight", "split(p_type, ' ') AS anchors")
+    return verification.recall(memory, "Promo economy: small widget, Brand19", 25)
