@@ -101,7 +101,9 @@ def service_edges(files: DataFrame) -> DataFrame:
 
 def catalog_graph(spark: SparkSession, database: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the tables and columns of a catalog's database."""
-    tables = [(t.name, c.name, c.dataType) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(t.name, database)]
+    # temporary views are listed with every database and belong to none
+    listed = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+    tables = [(t, c.name, c.dataType) for t in listed for c in spark.catalog.listColumns(f"`{database}`.`{t}`")]
     df = spark.createDataFrame(tables, "tab string, col string, kind string")
     n = df.select(F.concat(F.lit(f"{database}_"), "tab").alias("id"), F.col("tab").alias("label")).distinct()
     n = n.unionByName(df.select(F.concat_ws("_", F.lit(database), "tab", "col").alias("id"), F.col("col").alias("label")))
