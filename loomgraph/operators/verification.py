@@ -97,10 +97,15 @@ def pair_verdicts(pairs: DataFrame, edges: DataFrame, max_hops: int = 3) -> Data
     confident and unknown if not.
     """
     edges = edges.select("src", "dst", relation_name(F.col("relation")).alias("relation"))
-    fwd = edges.groupBy(F.col("src").alias("s"), F.col("dst").alias("d")).agg(F.collect_set("relation").alias("fwd"))
-    rev = edges.groupBy(F.col("dst").alias("s"), F.col("src").alias("d")).agg(F.collect_set("relation").alias("rev"))
-    p = pairs.join(fwd, (pairs["src"] == fwd["s"]) & (pairs["dst"] == fwd["d"]), "left").drop("s", "d")
-    p = p.join(rev, (p["src"] == rev["s"]) & (p["dst"] == rev["d"]), "left").drop("s", "d")
+    # only the edges of pairs are grouped, those of both directions in one pass
+    ways = F.array(F.struct("src", "dst", "relation", F.lit(True).alias("along")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", F.lit(False).alias("along")))
+    ends = pairs.select("src", "dst").distinct()
+    direct = edges.select(F.explode(ways).alias("w")).select("w.*").join(ends, ["src", "dst"], "left_semi")
+    names = lambda along: F.collect_set(F.when(F.col("along") == along, F.col("relation")))
+    direct = direct.groupBy(F.col("src").alias("s"), F.col("dst").alias("d")).agg(names(True).alias("fwd"), names(False).alias("rev"))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    direct = checkpoint(direct.select("s", "d", some("fwd"), some("rev")))
+    p = pairs.join(direct, (pairs["src"] == direct["s"]) & (pairs["dst"] == direct["d"]), "left").drop("s", "d")
     loose = p.where("fwd is null and rev is null").select("src", "dst").distinct()
     near = shortest_paths(edges, loose, max_hops).select(F.col("src").alias("s"), F.col("dst").alias("d"), "hops")
     p = p.join(near, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left").drop("s", "d")
