@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import both_directions, degree, degree_at
-from loomgraph.runtime import checkpoint
+from loomgraph.runtime import checkpoint, numbered
 
 #: Relations along which a change spreads to its users, and those that own members.
 IMPACT = ("calls", "indirect_call", "imports", "imports_from", "references", "uses", "inherits", "implements", "extends", "mixes_in", "embeds", "re_exports")
@@ -217,59 +219,170 @@ def depth_first(nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 3, l
     return order
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100, limit: int = 1000, max_edges: int = 2_000_000) -> DataFrame:
-    """``id, score``: Brandes' betweenness; exact up to ``limit`` nodes, else from ``pivots`` nodes by hash order.
+def _adjacency(pairs: DataFrame, entries: int = 250_000) -> DataFrame:
+    """``first, seq, ends, counts, near``: the neighbours (b) of each node (a) as packed 32-bit numbers, in order of a.
 
-    Sources are dealt over tasks; each gets the adjacency as a broadcast, whose size is checked.
+    A row holds up to ``entries`` neighbours; those of one node lie in one partition, in rows by ``seq``.
     """
-    import numpy as np
+    parts = max(1, min(1024, -(-pairs.count() // (4 * entries))))
+
+    def pack(batches):
+        seq, held, size = 0, [], 0
+
+        def row():
+            a, b = (np.concatenate(x) for x in zip(*held))
+            ends, counts = np.unique(a, return_counts=True)
+            cells = ([int(a[0])], [seq], [ends.astype("<i4").tobytes()], [counts.astype("<i4").tobytes()], [b.astype("<i4").tobytes()])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["first", "seq", "ends", "counts", "near"])
+
+        for x in batches:
+            held.append((x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)))
+            size += x.num_rows
+            if size >= entries:
+                yield row()
+                seq, held, size = seq + 1, [], 0
+        if size:
+            yield row()
+
+    return pairs.select("a", "b").repartitionByRange(parts, "a").sortWithinPartitions("a").mapInArrow(pack, "first long, seq int, ends binary, counts binary, near binary")
+
+
+def _cuts(sizes, most: int):
+    """(from, to) of consecutive items with ``most`` in sum, or one larger item."""
+    upto, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _dependencies(ptr, near, s: int, total, most: int = 1 << 20) -> None:
+    """Adds to ``total`` what source ``s`` gives every other node: Brandes' sums, level by level over packed neighbours."""
+    n = len(ptr) - 1
+    dist, sigma = np.full(n, -1, "i2"), np.zeros(n)
+    dist[s], sigma[s] = 0, 1.0
+    levels = [np.array([s])]
+
+    def steps(front):
+        size = ptr[front + 1] - ptr[front]
+        front, size = front[size > 0], size[size > 0]
+        for lo, hi in _cuts(size, most):
+            k = size[lo:hi]
+            begin = np.cumsum(k) - k
+            yield front[lo:hi], k, begin, near[np.repeat(ptr[front[lo:hi]] - begin, k) + np.arange(begin[-1] + k[-1])]
+
+    while len(levels[-1]):
+        level, fresh = len(levels), []
+        if level == 1 << 15:
+            dist = dist.astype("i4")
+        for v, k, _, w in steps(levels[-1]):
+            at = dist[w]
+            new = at < 0
+            ahead = new | (at == level)
+            dist[w[new]] = level
+            np.add.at(sigma, w[ahead], np.repeat(sigma[v], k)[ahead])
+            fresh.append(w[new])
+        reached = sum(map(len, fresh))
+        levels.append(np.flatnonzero(dist == level) if reached > n >> 6 else np.unique(np.concatenate(fresh)).astype("i8") if reached else np.array([], "i8"))
+    share = np.zeros(n)  # (1 + delta) / sigma of the nodes a level farther
+    for level in range(len(levels) - 2, -1, -1):
+        front = levels[level]
+        delta = np.zeros(len(front))
+        done = 0
+        ends = ptr[front + 1] > ptr[front]
+        found = np.zeros(int(ends.sum()))
+        for v, k, begin, w in steps(front):
+            found[done : done + len(v)] = sigma[v] * np.add.reduceat(np.where(dist[w] == level + 1, share[w], 0.0), begin)
+            done += len(v)
+        delta[ends] = found
+        share[front] = (1 + delta) / sigma[front]
+        if level:
+            total[front] += delta
+
+
+def _packed_sums(pairs: DataFrame, sources: list[int], n: int, tasks: int) -> DataFrame:
+    """``k, score``: sums of the sources' dependencies; every task gets the packed neighbours and its share of the sources."""
+    packed = checkpoint(_adjacency(pairs))
+    size = packed.agg(F.coalesce(F.sum(F.length("near") / 4), F.lit(0)).cast("long")).first()[0]
+
+    def work(batches):
+        degrees, near, done, task = np.zeros(n + 1, "i8"), np.empty(size, "i4"), 0, None
+        for x in batches:
+            for r in x.to_pylist():
+                task = r["task"]
+                degrees[np.frombuffer(r["ends"], "<i4") + 1] += np.frombuffer(r["counts"], "<i4")
+                part = np.frombuffer(r["near"], "<i4")
+                near[done : done + len(part)] = part
+                done += len(part)
+        if task is None:
+            return
+        ptr, total = np.cumsum(degrees), np.zeros(n)
+        for s in sources[task::tasks]:
+            _dependencies(ptr, near, s, total)
+        some = np.flatnonzero(total)
+        for lo in range(0, len(some), 100_000):
+            k = some[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["k", "score"])
+
+    dealt_out = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    found = dealt_out.repartitionById(tasks, F.col("task")).sortWithinPartitions("first", "seq").mapInArrow(work, "k long, score double")
+    return found.groupBy("k").agg(F.sum("score").alias("score"))
+
+
+def _row_sums(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """What ``_packed_sums`` gives, by joins of (source, node) rows for each level; no worker holds the graph."""
+    steps, heavy = dealt(pairs)
+    levels = [checkpoint(sources.select(F.col("k").alias("s"), F.col("k").alias("id"), F.lit(1.0).alias("sigma")))]
+    seen = levels[0].select("s", "id")
+    while levels[-1].limit(1).count():
+        new = stepped(levels[-1], steps, heavy).join(seen.select("s", F.col("id").alias("b")), ["s", "b"], "left_anti")
+        levels.append(checkpoint(new.groupBy("s", F.col("b").alias("id")).agg(F.sum("sigma").alias("sigma"))))
+        seen = seen.unionByName(levels[-1].select("s", "id"))
+    out, share = [], None
+    for level in range(len(levels) - 2, 0, -1):
+        now = levels[level].withColumn("delta", F.lit(0.0))
+        if share is not None:
+            back = stepped(share, steps, heavy).groupBy("s", F.col("b").alias("id")).agg(F.sum("share").alias("more"))
+            now = levels[level].join(back, ["s", "id"], "left").withColumn("delta", F.col("sigma") * F.coalesce("more", F.lit(0.0)))
+        now = checkpoint(now)
+        out.append(now.groupBy(F.col("id").alias("k")).agg(F.sum("delta").alias("score")))
+        share = now.select("s", "id", ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+    steps.unpersist()
+    found = out[0] if out else sources.select("k", F.lit(0.0).alias("score")).limit(0)
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.groupBy("k").agg(F.sum("score").alias("score"))
 
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100, limit: int = 1000, packed: int = 400_000_000) -> DataFrame:
+    """``id, score``: Brandes' betweenness; exact up to ``limit`` nodes, else from ``pivots`` nodes by hash order.
+
+    Nodes are numbered. Sources are dealt over tasks, and each task gets all neighbours as packed 32-bit numbers through
+    a shuffle; the driver holds the sources only. A graph of more than ``packed`` neighbours (two for each edge) is walked by joins instead.
+    """
     spark = nodes.sparkSession
-    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
-    rows = e.limit(max_edges + 1).collect()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges")
-    n = nodes.select("id").distinct().count()
-    near: dict[str, list[str]] = {}
-    for r in rows:
-        near.setdefault(r["u"], []).append(r["v"])
-        near.setdefault(r["v"], []).append(r["u"])
-    shared = spark.sparkContext.broadcast(near)
-    sources = nodes.select("id").distinct()
+    own = nodes.select("id").distinct()
+    e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().persist()  # read for the names, then for the pairs
+    names = numbered(own.unionByName(e.select(F.explode(F.array("u", "v")).alias("id"))).distinct(), ["id"], "k").select("id", "k").persist()
+    pairs = e.join(names.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(names.select(F.col("id").alias("v"), F.col("k").alias("b")), "v")
+    pairs = checkpoint(pairs.select("a", "b"))
+    e.unpersist()
+    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    n, count = own.count(), names.count()
+    sources = own
     scale = 1.0
     if n > limit:
         sources = sources.orderBy(F.xxhash64("id"), "id").limit(pivots)
         scale = n / min(n, pivots)
     norm = scale / ((n - 1) * (n - 2)) if n > 2 else 1.0
-
-    def work(frames):
-        adj = shared.value
-        total: dict[str, float] = {}
-        for pdf in frames:
-            for s in pdf["id"]:
-                order, sigma, dist, pred = [], {s: 1.0}, {s: 0}, {s: []}
-                queue = [s]
-                for v in queue:
-                    order.append(v)
-                    for w in adj.get(v, ()):
-                        if w not in dist:
-                            dist[w], sigma[w], pred[w] = dist[v] + 1, 0.0, []
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            pred[w].append(v)
-                delta = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in pred[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] = total.get(w, 0.0) + delta[w]
-        if total:
-            yield pd.DataFrame({"id": list(total), "score": np.array(list(total.values())) * norm})
-
-    parts = min(max(1, spark.sparkContext.defaultParallelism), 64)
-    found = sources.repartition(parts).mapInPandas(work, "id string, score double").groupBy("id").agg(F.sum("score").alias("score"))
-    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    sources = checkpoint(sources.join(names, "id").select("k"))
+    if pairs.count() > packed or count >= 1 << 31:
+        found = _row_sums(pairs, sources)
+    else:
+        ks = sorted(r["k"] for r in sources.collect())
+        found = _packed_sums(pairs, ks, count, max(1, min(spark.sparkContext.defaultParallelism, 64, len(ks))))
+    found = names.join(found, "k").select("id", (F.col("score") * norm).alias("score"))
+    return own.join(found, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
 
 
 def edge_betweenness(nodes: DataFrame, edges: DataFrame, max_nodes: int = 5000) -> DataFrame:

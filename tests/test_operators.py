@@ -1,6 +1,7 @@
 """Small hand-made graphs with known answers."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -244,6 +245,50 @@ def test_registered_betweenness_has_all_pivots(spark, monkeypatch):
     assert graph_queries.betweenness_sampled(spark, TINY) == 100
 
 
+def test_betweenness_of_large_graphs(spark, monkeypatch):
+    rnd = random.Random(5)
+    path = [(f"p{i}", f"p{i + 1}") for i in range(8)]
+    knot = [(f"k{rnd.randrange(40):02}", f"k{rnd.randrange(40):02}") for _ in range(90)]
+    ends = path + knot + [("p8", "k00"), ("k01", "k00"), ("k01", "out"), ("k02", "out"), ("k03", "k03")]
+    ids = sorted({x for p in ends for x in p} - {"out"}) + ["alone"]
+    n, e = make(spark, [(i, i) for i in ids], [(*p, "calls") for p in ends])
+    near = {}
+    for u, v in ends:
+        if u != v:
+            near.setdefault(u, set()).add(v)
+            near.setdefault(v, set()).add(u)
+
+    def walks(s):  # distance and number of shortest walks from s
+        d, k, queue = {s: 0}, {s: 1}, [s]
+        for v in queue:
+            for w in near.get(v, ()):
+                if w not in d:
+                    d[w], k[w] = d[v] + 1, 0
+                    queue.append(w)
+                if d[w] == d[v] + 1:
+                    k[w] += k[v]
+        return d, k
+
+    def whole(*args, **more):
+        raise AssertionError("the graph must not be on the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", whole)
+    of = {i: walks(i) for i in [*ids, "out"]}
+    norm = 1 / ((len(ids) - 1) * (len(ids) - 2))
+
+    def score(v, sources, scale):
+        dv, kv = of[v]
+        pairs = ((s, t) for s in sources if s != v and v in of[s][0] for t in of[s][0] if t not in (s, v) and t in dv)
+        return scale * norm * sum(of[s][1][v] * kv[t] / of[s][1][t] for s, t in pairs if of[s][0][v] + dv[t] == of[s][0][t])
+
+    some = [r["id"] for r in n.orderBy(F.xxhash64("id"), "id").limit(7).collect()]
+    for more, sources, scale in (({}, ids, 1), ({"pivots": 7, "limit": 20}, some, len(ids) / 7)):
+        for packed in (10**6, 0):
+            found = dict(rows(iterate.betweenness(n, e, packed=packed, **more), "id", "score"))
+            assert found.keys() == set(ids)
+            assert all(abs(found[v] - score(v, sources, scale)) < 2e-9 for v in ids)
+
+
 def test_cycles(spark):
     _, e = make(spark, [("a",)], [("a", "b", "x"), ("b", "a", "x"), ("b", "c", "x"), ("c", "a", "x"), ("d", "d", "x")])
     assert rows(iterate.bounded_cycles(e), "length", "cycle") == [(1, "d"), (2, "a>b"), (3, "a>b>c")]
