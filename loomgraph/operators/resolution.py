@@ -14,6 +14,8 @@ from loomgraph.functions import text as X
 HEADERS = ("h", "hpp", "hh", "hxx")
 SUPERTYPES = ("inherits", "implements", "extends")
 CASELESS = ("sql", "php")
+#: Rank of the same folder, above any number of folders shared.
+FOLDER = 1 << 30
 
 
 def stem_id(path: Column) -> Column:
@@ -152,35 +154,50 @@ def phantom_edges_dropped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.where(~F.coalesce(call, F.lit(False)) & ~F.coalesce(other, F.lit(False))).select(edges.columns)
 
 
-def common_prefix(a: Column, b: Column) -> Column:
-    """Folders that two paths share from the start."""
-    pa_, pb = (F.slice(F.split(p, "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split(p, "/")) - 1)) for p in (a, b))
-    n = F.least(F.size(pa_), F.size(pb))
-    same = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), lambda i: i <= n), lambda i: F.get(pa_, i - 1) == F.get(pb, i - 1))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+def _places(path: Column) -> Column:
+    """(rank, place) of a path, nearer ones ranked higher: the file, its folder, each start of its folders, anything (0)."""
+    folders = F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1)
+    starts = F.transform(F.sequence(F.lit(0), F.size(folders)), lambda d: F.struct(d.alias("rank"), F.array_join(F.slice(folders, F.lit(1), d), "/").alias("place")))
+    folder = F.struct(F.lit(FOLDER).alias("rank"), F.regexp_replace(path, "[^/]*$", "").alias("place"))
+    file = F.struct(F.lit(FOLDER + 1).alias("rank"), path.alias("place"))
+    anything = F.array(F.struct(F.lit(0).alias("rank"), F.lit("").alias("place")))
+    return F.when(path.isNull(), anything).otherwise(F.concat(starts, F.array(folder, file)))
 
 
-def nearest_candidates(calls: DataFrame) -> DataFrame:
-    """One ``candidate`` for each ``call`` of (call, call_file, candidate, file), or none.
+def nearest_among(callers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One ``candidate`` for each ``call`` of (call, call_file, key) among (key, candidate, file), or none.
 
     Callers outside tests never bind to tests; test callers prefer tests, their own file's first. Then the same file, the same
-    folder, the longest common start of the path: each only if a single candidate has it.
+    folder, the longest common start of the path: each only if a single candidate has it. A (call, call_file) has one key.
+    A missing file is no test and shares nothing.
+
+    Candidates are counted by key and place, and callers look their own places up, so pairs are never listed.
     """
-    test, own = X.is_test_path(F.col("file")), X.is_test_path(F.col("call_file"))
-    c = calls.withColumns({"t": test, "o": own}).distinct()
-    g = c.groupBy("call").agg(F.count(F.lit(1)).alias("n_all"), F.count_if("t").alias("n_test"))
-    c = c.join(g, "call")
-    keep = (F.col("n_all") == 1) | F.when(F.col("o"), F.col("t") | (F.col("n_test") == 0)).otherwise(~F.col("t"))
-    c = c.where(keep)
-    folder = lambda p: F.regexp_replace(p, "[^/]*$", "")
-    tier = F.when(F.col("file") == F.col("call_file"), 0).when(folder(F.col("file")) == folder(F.col("call_file")), 1).otherwise(2)
-    c = c.withColumns({"tier": tier, "shared": common_prefix(F.col("file"), F.col("call_file"))})
-    c = c.withColumn("score", F.when(F.col("tier") == 2, F.col("shared")).otherwise(F.lit(0)))
-    best = c.groupBy("call").agg(F.min(F.struct("tier", (-F.col("score")).alias("score"))).alias("b"), F.count(F.lit(1)).alias("n"))
-    c = c.join(best, "call").where("tier = b.tier and score = -b.score")
-    one = c.groupBy("call").agg(F.count(F.lit(1)).alias("k"), F.min("candidate").alias("candidate"), F.first("n").alias("n"), F.first("tier").alias("tier"), F.first("score").alias("score"))
-    return one.where("n = 1 or (k = 1 and (tier < 2 or score > 0))").select("call", "candidate")
+    test = lambda c: F.coalesce(X.is_test_path(F.col(c)), F.lit(False))
+    c = candidates.select("key", "candidate", "file").where("key is not null").distinct()
+    c = c.select("key", "candidate", test("file").alias("t"), F.explode(_places(F.col("file"))).alias("p"))
+    there = c.groupBy("key", "p.rank", "p.place").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("t").alias("n_test"), F.min(F.when(F.col("t"), F.col("candidate"))).alias("a_test"), F.min(F.when(~F.col("t"), F.col("candidate"))).alias("other")
+    )
+    at = callers.select("call", "call_file", "key").where("call is not null").distinct()
+    at = at.select("call", "key", test("call_file").alias("o"), F.explode(_places(F.col("call_file"))).alias("p"))
+    j = at.select("call", "key", "o", "p.rank", "p.place").join(there, ["key", "rank", "place"])
+    j = j.groupBy("call", "rank", "o").agg(F.sum("n").alias("n"), F.sum("n_test").alias("n_test"), F.min("a_test").alias("a_test"), F.min("other").alias("other"))
+    whole = F.when(F.col("rank") == 0, F.struct("o", "n", "n_test", "a_test", "other"))
+    g = j.groupBy("call").agg(F.collect_list(F.struct("rank", "o", "n", "n_test", "a_test", "other")).alias("rows"), F.sum(whole["n"]).alias("n_all"), F.sum(whole["n_test"]).alias("tests"))
+    j = g.select("call", "n_all", "tests", F.inline("rows"))
+    every = (F.col("n_all") == 1) | (F.col("o") & (F.col("tests") == 0))
+    k = F.when(every, F.col("n")).when(F.col("o"), F.col("n_test")).otherwise(F.col("n") - F.col("n_test"))
+    name = F.when(every, F.coalesce("a_test", "other")).when(F.col("o"), F.col("a_test")).otherwise(F.col("other"))
+    kept = j.select("call", "rank", k.alias("k"), name.alias("candidate")).where("k > 0").groupBy("call", "rank").agg(F.sum("k").alias("k"), F.min("candidate").alias("candidate"))
+    one = kept.groupBy("call").agg(F.max(F.struct("rank", "k", "candidate")).alias("b"), F.sum(F.when(F.col("rank") == 0, F.col("k"))).alias("n"))
+    return one.where("n = 1 or (b.k = 1 and b.rank > 0)").select("call", "b.candidate")
+
+
+def nearest_candidates(calls: DataFrame) -> DataFrame:
+    """``nearest_among`` for listed pairs (call, call_file, candidate, file)."""
+    key = F.struct("call", "call_file").alias("key")
+    return nearest_among(calls.select("call", "call_file", key), calls.select(key, "candidate", "file"))
 
 
 def member_calls(calls: DataFrame, receiver_types: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

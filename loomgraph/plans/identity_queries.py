@@ -81,9 +81,8 @@ SELECT call, min(cand) AS candidate FROM b WHERE tier = best GROUP BY call HAVIN
 def nearest_candidates(spark, sf):
     s, p = read(spark, sf, "supplier", "part")
     f = F.concat(F.lit("b"), "p_size", F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(".py"))
-    j = s.join(p, s.s_suppkey % 97 == p.p_partkey % 97)
-    c = j.select(F.col("s_suppkey").alias("call"), F.concat(F.lit("b"), "s_nationkey", F.lit("/Brand11.py")).alias("call_file"), F.concat(F.lit("P"), "p_partkey").alias("candidate"), f.alias("file"))
-    return resolution.nearest_candidates(c)
+    callers = s.select(F.col("s_suppkey").alias("call"), F.concat(F.lit("b"), "s_nationkey", F.lit("/Brand11.py")).alias("call_file"), (F.col("s_suppkey") % 97).alias("key"))
+    return resolution.nearest_among(callers, p.select((F.col("p_partkey") % 97).alias("key"), F.concat(F.lit("P"), "p_partkey").alias("candidate"), f.alias("file")))
 
 
 @query("""

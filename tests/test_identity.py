@@ -1,6 +1,7 @@
 """Identity, building, sections and manifests on small inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,6 +77,34 @@ def test_nearest_candidate(spark):
     assert dict(pairs(out, "call", "candidate")) == {"same": "1", "dir": "1", "far": "1", "mock": "2", "one": "9", "intest": "2"}
 
 
+def test_nearest_among_lists_no_pairs(spark):
+    rnd = random.Random(3)
+    files = ["a.py", "x/a.py", "x/b.py", "x/y/a.py", "x/y/z/b.py", "/x/a.py", "w/a.py", "tests/test_a.py", "x/tests/a.py", None]
+    callers = [(c, rnd.choice(files), rnd.randrange(9)) for c in range(120)]
+    candidates = [(k, f"P{k}{i}", rnd.choice(files)) for k in range(9) for i in range(k // 2 + 1)]
+    candidates += candidates[:5]
+    test = lambda f: f is not None and "test" in f
+    folders = lambda f: f.split("/")[:-1] if f else []
+
+    def verdict(file, found):
+        own = test(file)
+        if len(found) > 1:
+            found = {x for x in found if (test(x[1]) or not any(test(f) for _, f in found) if own else not test(x[1]))}
+        near = {}
+        for c, f in found:
+            shared = next((i for i, (a, b) in enumerate(zip(folders(f), folders(file))) if a != b), min(len(folders(f)), len(folders(file))))
+            same = None not in (f, file)
+            near.setdefault((2, 0) if same and f == file else (1, 0) if same and folders(f) == folders(file) else (0, shared), []).append(c)
+        best = max(near, default=None)
+        return near[best][0] if near and (len(found) == 1 or (len(near[best]) == 1 and best > (0, 0))) else None
+
+    want = {c: v for c, f, k in callers if (v := verdict(f, {(x, g) for q, x, g in candidates if q == k}))}
+    a, b = spark.createDataFrame(callers, "call int, call_file string, key int"), spark.createDataFrame(candidates, "key int, candidate string, file string")
+    assert dict(pairs(resolution.nearest_candidates(a.join(b, "key")), "call", "candidate")) == want and len(want) > 20
+    out = resolution.nearest_among(a, b)
+    assert dict(pairs(out, "call", "candidate")) == want
+
+
 def test_calls_on_receivers_and_imports(spark):
     n = nodes(spark, ("A", "Auth", "auth.py"), ("A_run", ".run()", "auth.py"), ("c", "main()", "main.py"), ("h", "helper()", "pkg/util.py"))
     e = edges(spark, ("A", "A_run", "method"))
