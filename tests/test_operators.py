@@ -229,6 +229,30 @@ def test_detection_by_rounds(spark):
     assert {r["g"] for r in groups.collect()} == {"abc", "xyz"}
 
 
+def test_detection_settles_large_levels_without_rounds(spark, monkeypatch):
+    def rounds(*args):
+        raise AssertionError("a level of this size needs no rounds")
+
+    n = spark.range(2500).select(F.concat(F.lit("n"), "id").alias("id"))
+    ring = spark.range(2500).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(249)))).where("id div 250 = (id + d) div 250 or (id % 250 = 249 and d = 1)")
+    e = ring.select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("n"), (F.col("id") + F.col("d")) % 2500).alias("dst")).persist()
+    assert e.count() * 2 > 500_000
+    monkeypatch.setattr(community, "_settled", rounds)
+    m = community.detect(n, e.unionByName(e)).persist()
+    assert m.count() == 2500 and community.modularity(e, m) > 0.8
+    at, near = dict(m.collect()), {}
+    for a, b in e.collect():
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    tot, m2 = {}, sum(map(len, near.values()))
+    for i in near:
+        tot[at[i]] = tot.get(at[i], 0) + len(near[i])
+    for i, found in near.items():  # the blocks are far apart, so no single move may gain after merging either
+        into = {c: sum(at[b] == c for b in found) for c in {at[i], *map(at.get, found)}}
+        gain = {c: w - len(found) * (tot[c] - len(found) * (c == at[i])) / m2 for c, w in into.items()}
+        assert gain[at[i]] >= max(gain.values()) - 1e-6
+
+
 def test_registered_detection_splits_loose_communities(spark):
     n, e = graph_queries.kg(spark, TINY)
     whole = graph_queries.community_detection(spark, TINY)
