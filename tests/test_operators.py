@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -253,6 +254,51 @@ def test_detection_settles_large_levels_without_rounds(spark, monkeypatch):
         assert gain[at[i]] >= max(gain.values()) - 1e-6
 
 
+def test_clustering_at_once(spark, monkeypatch):
+    blocks = {x: [f"{x}{i:02}" for i in range(20)] for x in "abc"}
+    star = [f"s{i:02}" for i in range(60)]
+    ends = [(u, v) for b in blocks.values() for u in b for v in b if u < v] + [("a00", "b00"), ("c00", "c00"), ("c01", "out"), ("out", "c02")]
+    n, e = make(spark, [(c, c) for b in blocks.values() for c in b] + [(c, c) for c in star] + [("alone", "alone")], [(*p, "calls") for p in ends] + [("s00", c, "calls") for c in star[1:]])
+    whole = {r["id"]: r["community"] for r in community.cluster(n, e, here=1386).collect()}  # by tables, its levels on the driver
+
+    def tables(*args, **more):
+        raise AssertionError("a graph of this size is clustered at once")
+
+    monkeypatch.setattr(community, "detect", tables)
+    monkeypatch.setattr(community, "_split", tables)
+    once = community.cluster(n, e).collect()
+    assert {r["id"]: r["community"] for r in once} == whole and len(once) == len(whole) == 121
+    assert [whole[x] for x in ("s59", "a19", "b00", "c05", "alone")] == [0, 1, 2, 3, 4]
+    assert community.cluster(n.limit(0), e).count() == 0
+    assert community.cluster(n.limit(0), e.limit(0)).count() == 0
+    assert community.cluster(n, e.limit(0)).agg(F.count_distinct("community")).first()[0] == 121
+
+
+def test_moves_in_rounds_leave_no_gain():
+    rnd = np.random.default_rng(3)
+    i, j = np.unique(np.sort(rnd.integers(0, 6000, (24000, 2))), axis=0).T
+    i, j = i[i < j], j[i < j]
+    singly, single = [], community._one_by_one
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort([b, a])
+    ptr = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=6000))])
+    for weight in (None, rnd.integers(1, 9, len(i)).astype("f8")):
+        w = np.ones(len(a)) if weight is None else np.concatenate([weight, weight])[order]
+        k = np.bincount(a[order], w, 6000)
+        m2 = np.full(6000, k.sum())
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(community, "_one_by_one", lambda *x: singly.append(len(x[-1])) or single(*x))
+            at = community._moved_here(ptr, b[order].astype("i4"), None if weight is None else w, k, m2)
+        assert singly[-1] == 0 and max(singly) < 3000
+        singly.clear()
+        tot = np.bincount(at, k, 6000)
+        into = np.zeros((6000, 6000))
+        np.add.at(into, (a[order], at[b[order]]), w)
+        gain = into - k[:, None] / m2[:, None] * (tot[None] - (at[:, None] == np.arange(6000)) * k[:, None])
+        near = into > 0
+        assert (np.where(near, gain, -np.inf).max(1, initial=-np.inf) <= gain[np.arange(6000), at] + 1e-6).all()
+
+
 def test_registered_detection_splits_loose_communities(spark):
     n, e = graph_queries.kg(spark, TINY)
     whole = graph_queries.community_detection(spark, TINY)
