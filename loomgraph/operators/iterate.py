@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.graph import both_directions, degree, degree_at
-from loomgraph.runtime import checkpoint, numbered
+from loomgraph.runtime import checkpoint, numbered, shuffles_removed
 
 #: Relations along which a change spreads to its users, and those that own members.
 IMPACT = ("calls", "indirect_call", "imports", "imports_from", "references", "uses", "inherits", "implements", "extends", "mixes_in", "embeds", "re_exports")
@@ -219,32 +219,78 @@ def depth_first(nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 3, l
     return order
 
 
-def _adjacency(pairs: DataFrame, entries: int = 250_000) -> DataFrame:
-    """``first, seq, ends, counts, near``: the neighbours (b) of each node (a) as packed 32-bit numbers, in order of a.
-
-    A row holds up to ``entries`` neighbours; those of one node lie in one partition, in rows by ``seq``.
-    """
-    parts = max(1, min(1024, -(-pairs.count() // (4 * entries))))
+def _hashes(ids: DataFrame, entries: int = 250_000) -> DataFrame:
+    """``first, n, twice, hashes``: the 64-bit hashes of ``ids`` (distinct) in order, packed; ``twice`` counts those that two ids share."""
 
     def pack(batches):
-        seq, held, size = 0, [], 0
+        held, size, last = [], 0, None
 
         def row():
-            a, b = (np.concatenate(x) for x in zip(*held))
-            ends, counts = np.unique(a, return_counts=True)
-            cells = ([int(a[0])], [seq], [ends.astype("<i4").tobytes()], [counts.astype("<i4").tobytes()], [b.astype("<i4").tobytes()])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int64(), pa.int32(), *[pa.binary()] * 3))], ["first", "seq", "ends", "counts", "near"])
+            nonlocal last
+            h = np.concatenate(held)
+            twice = int((h[1:] == h[:-1]).sum()) + int(last == h[0])
+            last = h[-1]
+            return pa.RecordBatch.from_pydict({"first": pa.array([int(h[0])], pa.int64()), "n": pa.array([len(h)], pa.int64()), "twice": pa.array([twice], pa.int64()), "hashes": pa.array([h.astype("<i8").tobytes()], pa.binary())})
 
         for x in batches:
-            held.append((x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)))
+            held.append(x.column(0).to_numpy(zero_copy_only=False))
             size += x.num_rows
             if size >= entries:
                 yield row()
-                seq, held, size = seq + 1, [], 0
+                held, size = [], 0
         if size:
             yield row()
 
-    return pairs.select("a", "b").repartitionByRange(parts, "a").sortWithinPartitions("a").mapInArrow(pack, "first long, seq int, ends binary, counts binary, near binary")
+    h = ids.where("id is not null").select(F.xxhash64("id").alias("h"))
+    return checkpoint(h.repartitionByRange("h").sortWithinPartitions("h").mapInArrow(pack, "first long, n long, twice long, hashes binary"))
+
+
+def _adjacency(hashes: DataFrame, edges: DataFrame, tasks: int, entries: int = 250_000) -> DataFrame:
+    """``first, strange, n, ends, counts, near``: for each node the neighbours of a greater number, once each, as packed 32-bit numbers.
+
+    A node's number is the place of its hash among ``hashes``, which every task gets through the shuffle; an edge travels as two
+    hashes, to the task of the smaller one. ``strange`` counts ends that aren't among them; their edges are left out.
+    """
+
+    def pack(batches):
+        names, pairs = [], []
+        for x in batches:
+            h = x.column("hashes")
+            if h.null_count < len(h):
+                names += [(f, np.frombuffer(v, "<i8")) for f, v in zip(x.column("first").to_pylist(), h.to_pylist()) if v is not None]
+            if h.null_count:
+                u, v = (np.asarray(x.column(c).drop_null()) for c in ("u", "v"))
+                pairs.append((u, v))
+        if not pairs:
+            return
+        known = np.concatenate([v for _, v in sorted(names, key=lambda r: r[0])] or [np.array([], "i8")])
+        del names
+        keys, strange = [], 0
+        while pairs:
+            u, v = (np.concatenate(x) for x in zip(*pairs[-100:]))
+            del pairs[-100:]
+            i, j = np.searchsorted(known, u), np.searchsorted(known, v)
+            ok = (i < len(known)) & (j < len(known))
+            ok[ok] = (known[i[ok]] == u[ok]) & (known[j[ok]] == v[ok])
+            strange += int((~ok).sum())
+            keys.append((i << 32 | j)[ok])
+        del known
+        keys = np.concatenate(keys)
+        keys.sort()
+        lo = 0
+        while lo < len(keys) or strange:
+            part = keys[lo : lo + entries]
+            part = part[np.diff(part, prepend=keys[lo - 1] if lo else -1) > 0]
+            ends, counts = np.unique(part >> 32, return_counts=True)
+            cells = ([int(ends[0]) if len(ends) else -1], [strange], [len(part)], [ends.astype("<i4").tobytes()], [counts.astype("<i4").tobytes()], [(part & 0xFFFFFFFF).astype("<i4").tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (*[pa.int64()] * 3, *[pa.binary()] * 3))], ["first", "strange", "n", "ends", "counts", "near"])
+            strange, lo = 0, lo + entries
+
+    h = [F.xxhash64(c) for c in ("src", "dst")]
+    pairs = edges.where("src <> dst").select(F.least(*h).alias("u"), F.greatest(*h).alias("v")).withColumn("task", F.pmod("u", F.lit(tasks)).cast("int"))
+    copies = hashes.select("first", "hashes", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
+    sent = pairs.unionByName(copies, allowMissingColumns=True).repartitionById(tasks, F.col("task"))
+    return checkpoint(sent.mapInArrow(pack, "first long, strange long, n long, ends binary, counts binary, near binary"))
 
 
 def cuts(sizes, most: int):
@@ -300,23 +346,32 @@ def _dependencies(ptr, near, s: int, total, most: int = 1 << 20) -> None:
             total[front] += delta
 
 
-def _packed_sums(pairs: DataFrame, sources: list[int], n: int, tasks: int) -> DataFrame:
-    """``k, score``: sums of the sources' dependencies; every task gets the packed neighbours and its share of the sources."""
-    packed = checkpoint(_adjacency(pairs))
-    size = packed.agg(F.coalesce(F.sum(F.length("near") / 4), F.lit(0)).cast("long")).first()[0]
+def _packed_sums(packed: DataFrame, sources: list[int], n: int, tasks: int) -> DataFrame:
+    """``k, score``: sums of the sources' dependencies; every task gets the packed neighbours twice, to count and to place them, and its share of the sources."""
 
     def work(batches):
-        degrees, near, done, task = np.zeros(n + 1, "i8"), np.empty(size, "i4"), 0, None
+        ptr, at, near, task = np.zeros(n + 1, "i8"), None, None, None
         for x in batches:
             for r in x.to_pylist():
                 task = r["task"]
-                degrees[np.frombuffer(r["ends"], "<i4") + 1] += np.frombuffer(r["counts"], "<i4")
-                part = np.frombuffer(r["near"], "<i4")
-                near[done : done + len(part)] = part
-                done += len(part)
+                ends, counts, part = (np.frombuffer(r[c], "<i4") for c in ("ends", "counts", "near"))
+                back, many = np.unique(part, return_counts=True)
+                if not r["place"]:
+                    ptr[ends + 1] += counts
+                    ptr[back + 1] += many
+                    continue
+                if at is None:
+                    np.cumsum(ptr, out=ptr)
+                    at, near = ptr[:-1].copy(), np.empty(ptr[-1], "i4")
+                own = np.repeat(ends, counts)
+                order = np.argsort(part, kind="stable")
+                for of, k, to in ((ends, counts, part), (back, many, own[order])):
+                    near[np.repeat(at[of] - (np.cumsum(k) - k), k) + np.arange(len(to))] = to
+                    at[of] += k
         if task is None:
             return
-        ptr, total = np.cumsum(degrees), np.zeros(n)
+        del at
+        total = np.zeros(n)
         for s in sources[task::tasks]:
             _dependencies(ptr, near, s, total)
         some = np.flatnonzero(total)
@@ -324,8 +379,8 @@ def _packed_sums(pairs: DataFrame, sources: list[int], n: int, tasks: int) -> Da
             k = some[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["k", "score"])
 
-    dealt_out = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    found = dealt_out.repartitionById(tasks, F.col("task")).sortWithinPartitions("first", "seq").mapInArrow(work, "k long, score double")
+    dealt_out = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("place", F.explode(F.array(F.lit(False), F.lit(True))))
+    found = dealt_out.repartitionById(tasks, F.col("task")).sortWithinPartitions("place", "first").mapInArrow(work, "k long, score double")
     return found.groupBy("k").agg(F.sum("score").alias("score"))
 
 
@@ -354,35 +409,75 @@ def _row_sums(pairs: DataFrame, sources: DataFrame) -> DataFrame:
     return found.groupBy("k").agg(F.sum("score").alias("score"))
 
 
+def _packed_graph(own: DataFrame, edges: DataFrame, tasks: int) -> tuple[DataFrame, DataFrame] | None:
+    """(hashes, neighbours) of ``_hashes`` and ``_adjacency``, or None where two ids share a hash."""
+    for ids in (own, None):  # ends that are no nodes are rare, and looking for them takes all edges once more
+        if ids is None:
+            ids = own.unionByName(edges.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("id"))).distinct()
+        hashes = _hashes(ids)
+        if hashes.agg(F.sum("twice")).first()[0]:
+            return None
+        packed = _adjacency(hashes, edges, tasks)
+        if not packed.agg(F.sum("strange")).first()[0]:
+            return hashes, packed
+    raise AssertionError("edges changed while they were read")
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100, limit: int = 1000, packed: int = 400_000_000) -> DataFrame:
     """``id, score``: Brandes' betweenness; exact up to ``limit`` nodes, else from ``pivots`` nodes by hash order.
 
-    Nodes are numbered. Sources are dealt over tasks, and each task gets all neighbours as packed 32-bit numbers through
-    a shuffle; the driver holds the sources only. A graph of more than ``packed`` neighbours (two for each edge) is walked by joins instead.
+    Nodes are numbered by their hashes. Sources are dealt over tasks, and each task gets all neighbours as packed 32-bit numbers
+    through a shuffle, one task for each executor where these are many; the driver holds the sources only. A graph of more than
+    ``packed`` neighbours (two for each edge), or with two ids of one 64-bit hash, is walked by joins instead.
     """
     spark = nodes.sparkSession
     own = nodes.select("id").distinct()
+    with shuffles_removed(spark):
+        n = own.count()
+        graph = _packed_graph(own, edges, min(64, spark.sparkContext.defaultParallelism)) if packed else None
+        size = 2 * (graph[1].agg(F.sum("n")).first()[0] or 0) if graph else 0
+    sources, scale = own, 1.0
+    if n > limit:
+        sources = sources.orderBy(F.xxhash64("id"), "id").limit(pivots)
+        scale = n / min(n, pivots)
+    norm = scale / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    if not graph or size > packed or n >= 1 << 31:
+        found = _by_rows(own, edges, sources)
+        return own.join(found, "id", "left").select("id", F.round(F.coalesce(F.col("score") * norm, F.lit(0.0)), 9).alias("score"))
+    hashes, lists = graph
+    starts, count = {}, 0
+    for r in sorted(hashes.select("first", "n").collect()):
+        starts[r["first"]], count = count, count + r["n"]
+
+    def unpack(batches):
+        for x in batches:
+            for first, cells in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                h = np.frombuffer(cells, "<i8")
+                for lo in range(0, len(h), 50_000):
+                    part = h[lo : lo + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.arange(len(part)) + starts[first] + lo)], ["h", "k"])
+
+    names = hashes.select("first", "hashes").mapInArrow(unpack, "h long, k long")
+    with shuffles_removed(spark):
+        chosen = sources.where("id is not null").select(F.xxhash64("id").alias("h"))
+        ks = sorted(r["k"] for r in names.join(F.broadcast(chosen), "h").select("k").collect())  # at most limit or pivots rows
+        executors = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+        tasks = max(1, min(64, spark.sparkContext.defaultParallelism if size < 1 << 25 else executors, len(ks)))
+        found = checkpoint(_packed_sums(lists, ks, count, tasks))
+    found = names.join(found, "k").select("h", (F.col("score") * norm).alias("score"))
+    return own.join(found, F.when(F.col("id").isNotNull(), F.xxhash64("id")) == F.col("h"), "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+
+
+def _by_rows(own: DataFrame, edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``id, score`` of ``_row_sums``, for nodes numbered by name."""
     e = edges.where("src <> dst").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().persist()  # read for the names, then for the pairs
     names = numbered(own.unionByName(e.select(F.explode(F.array("u", "v")).alias("id"))).distinct(), ["id"], "k").select("id", "k").persist()
     pairs = e.join(names.select(F.col("id").alias("u"), F.col("k").alias("a")), "u").join(names.select(F.col("id").alias("v"), F.col("k").alias("b")), "v")
     pairs = checkpoint(pairs.select("a", "b"))
     e.unpersist()
     pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    n, count = own.count(), names.count()
-    sources = own
-    scale = 1.0
-    if n > limit:
-        sources = sources.orderBy(F.xxhash64("id"), "id").limit(pivots)
-        scale = n / min(n, pivots)
-    norm = scale / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    sources = checkpoint(sources.join(names, "id").select("k"))
-    if pairs.count() > packed or count >= 1 << 31:
-        found = _row_sums(pairs, sources)
-    else:
-        ks = sorted(r["k"] for r in sources.collect())
-        found = _packed_sums(pairs, ks, count, max(1, min(spark.sparkContext.defaultParallelism, 64, len(ks))))
-    found = names.join(found, "k").select("id", (F.col("score") * norm).alias("score"))
-    return own.join(found, "id", "left").select("id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    found = _row_sums(pairs, checkpoint(sources.join(names, "id").select("k")))
+    return names.join(found, "k").select("id", "score")
 
 
 def edge_betweenness(nodes: DataFrame, edges: DataFrame, max_nodes: int = 5000) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -59,6 +60,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as it has run; frames made inside are for one action each."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     """``df`` with its 0-based place in a total order, without gathering the rows in one task.
 

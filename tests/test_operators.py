@@ -359,6 +359,20 @@ def test_betweenness_of_large_graphs(spark, monkeypatch):
             assert all(abs(found[v] - score(v, sources, scale)) < 2e-9 for v in ids)
 
 
+def test_edges_of_betweenness_are_packed_once(spark, monkeypatch):
+    ends = [("a", "b"), ("b", "a"), ("b", "c"), ("b", "c"), ("c", "d"), ("d", "out"), ("d", "d")]
+    n, e = make(spark, [(i, i) for i in "abcd"], [(*p, "calls") for p in ends])
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    hashes, lists = iterate._packed_graph(n.select("id"), e, 3)
+    assert hashes.agg(F.sum("n")).first()[0] == 5 and lists.agg(F.sum("n")).first()[0] == 4
+    right = rows(iterate.betweenness(n, e), "id", "score")
+    assert spark.conf.get(key) == before and dict(right)["a"] == 0 < dict(right)["b"]
+    with monkeypatch.context() as m:
+        m.setattr(F, "xxhash64", lambda *c: F.lit(7).cast("long"))  # all ids share a hash
+        assert rows(iterate.betweenness(n, e), "id", "score") == right
+
+
 def test_cycles(spark):
     _, e = make(spark, [("a",)], [("a", "b", "x"), ("b", "a", "x"), ("b", "c", "x"), ("c", "a", "x"), ("d", "d", "x")])
     assert rows(iterate.bounded_cycles(e), "length", "cycle") == [(1, "d"), (2, "a>b"), (3, "a>b>c")]
