@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -249,26 +251,31 @@ def _adjacency(hashes: DataFrame, edges: DataFrame, tasks: int, entries: int = 2
     """``first, strange, n, ends, counts, near``: for each node the neighbours of a greater number, once each, as packed 32-bit numbers.
 
     A node's number is the place of its hash among ``hashes``, which every task gets through the shuffle; an edge travels as two
-    hashes, to the task of the smaller one. ``strange`` counts ends that aren't among them; their edges are left out.
+    hashes, to the task of the smaller one. Rows without ``ends`` hold, from node ``first`` on, how many neighbours the task has for each. ``strange`` counts ends that aren't among them; their edges are left out.
     """
 
     def pack(batches):
-        names, pairs = [], []
+        names, pairs, at = [], [], 0
         for x in batches:
             h = x.column("hashes")
             if h.null_count < len(h):
                 names += [(f, np.frombuffer(v, "<i8")) for f, v in zip(x.column("first").to_pylist(), h.to_pylist()) if v is not None]
-            if h.null_count:
-                u, v = (np.asarray(x.column(c).drop_null()) for c in ("u", "v"))
-                pairs.append((u, v))
+            u, v = (np.asarray(x.column(c).drop_null()) for c in ("u", "v"))
+            while len(u):  # copied, since a view would hold all columns of its batch
+                if not pairs or at == pairs[-1].shape[1]:
+                    pairs.append(np.empty((2, 1 << 20), "i8"))
+                    at = 0
+                k = min(len(u), pairs[-1].shape[1] - at)
+                pairs[-1][0, at : at + k], pairs[-1][1, at : at + k] = u[:k], v[:k]
+                u, v, at = u[k:], v[k:], at + k
         if not pairs:
             return
+        pairs[-1] = pairs[-1][:, :at]
         known = np.concatenate([v for _, v in sorted(names, key=lambda r: r[0])] or [np.array([], "i8")])
         del names
-        keys, strange = [], 0
+        keys, strange, size = [], 0, len(known)
         while pairs:
-            u, v = (np.concatenate(x) for x in zip(*pairs[-100:]))
-            del pairs[-100:]
+            u, v = pairs.pop()
             i, j = np.searchsorted(known, u), np.searchsorted(known, v)
             ok = (i < len(known)) & (j < len(known))
             ok[ok] = (known[i[ok]] == u[ok]) & (known[j[ok]] == v[ok])
@@ -277,20 +284,30 @@ def _adjacency(hashes: DataFrame, edges: DataFrame, tasks: int, entries: int = 2
         del known
         keys = np.concatenate(keys)
         keys.sort()
-        lo = 0
-        while lo < len(keys) or strange:
+        kinds = (*[pa.int64()] * 3, *[pa.binary()] * 3)
+
+        def row(*cells):
+            return pa.RecordBatch.from_arrays([pa.array([c.astype("<i4").tobytes() if isinstance(c, np.ndarray) else c], t) for c, t in zip(cells, kinds)], ["first", "strange", "n", "ends", "counts", "near"])
+
+        degrees = np.zeros(size, "i4")
+        for lo in range(0, len(keys), entries):
             part = keys[lo : lo + entries]
             part = part[np.diff(part, prepend=keys[lo - 1] if lo else -1) > 0]
-            ends, counts = np.unique(part >> 32, return_counts=True)
-            cells = ([int(ends[0]) if len(ends) else -1], [strange], [len(part)], [ends.astype("<i4").tobytes()], [counts.astype("<i4").tobytes()], [(part & 0xFFFFFFFF).astype("<i4").tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, (*[pa.int64()] * 3, *[pa.binary()] * 3))], ["first", "strange", "n", "ends", "counts", "near"])
-            strange, lo = 0, lo + entries
+            if len(part):
+                ends, counts = np.unique(part >> 32, return_counts=True)
+                back, many = np.unique(part & 0xFFFFFFFF, return_counts=True)
+                degrees[ends] += counts.astype("i4")
+                degrees[back] += many.astype("i4")
+                yield row(int(ends[0]), 0, len(part), ends, counts, part & 0xFFFFFFFF)
+        del keys
+        for lo in range(0, max(1, size), 4 * entries):
+            yield row(lo, strange if lo == 0 else 0, 0, None, degrees[lo : lo + 4 * entries], None)
 
     h = [F.xxhash64(c) for c in ("src", "dst")]
     pairs = edges.where("src <> dst").select(F.least(*h).alias("u"), F.greatest(*h).alias("v")).withColumn("task", F.pmod("u", F.lit(tasks)).cast("int"))
     copies = hashes.select("first", "hashes", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"))
     sent = pairs.unionByName(copies, allowMissingColumns=True).repartitionById(tasks, F.col("task"))
-    return checkpoint(sent.mapInArrow(pack, "first long, strange long, n long, ends binary, counts binary, near binary"))
+    return checkpoint(sent.select("first", "hashes", "u", "v").mapInArrow(pack, "first long, strange long, n long, ends binary, counts binary, near binary"))
 
 
 def cuts(sizes, most: int):
@@ -347,29 +364,31 @@ def _dependencies(ptr, near, s: int, total, most: int = 1 << 20) -> None:
 
 
 def _packed_sums(packed: DataFrame, sources: list[int], n: int, tasks: int) -> DataFrame:
-    """``k, score``: sums of the sources' dependencies; every task gets the packed neighbours twice, to count and to place them, and its share of the sources."""
+    """``k, score``: sums of the sources' dependencies; every task gets the packed neighbours and its share of the sources."""
 
     def work(batches):
         ptr, at, near, task = np.zeros(n + 1, "i8"), None, None, None
         for x in batches:
             for r in x.to_pylist():
-                task = r["task"]
-                ends, counts, part = (np.frombuffer(r[c], "<i4") for c in ("ends", "counts", "near"))
-                back, many = np.unique(part, return_counts=True)
-                if not r["place"]:
-                    ptr[ends + 1] += counts
-                    ptr[back + 1] += many
+                task, counts = r["task"], np.frombuffer(r["counts"], "<i4")
+                if r["ends"] is None:
+                    ptr[r["first"] + 1 : r["first"] + 1 + len(counts)] += counts
                     continue
                 if at is None:
                     np.cumsum(ptr, out=ptr)
-                    at, near = ptr[:-1].copy(), np.empty(ptr[-1], "i4")
+                    at = ptr[:-1].copy()
+                    with tempfile.TemporaryFile() as f:  # a local file that is gone at the end: the system may drop its pages
+                        near = np.memmap(f, "i4", "w+", shape=int(ptr[-1])) if ptr[-1] >= 1 << 25 else np.empty(ptr[-1], "i4")
+                ends, part = (np.frombuffer(r[c], "<i4") for c in ("ends", "near"))
+                back, many = np.unique(part, return_counts=True)
                 own = np.repeat(ends, counts)
                 order = np.argsort(part, kind="stable")
                 for of, k, to in ((ends, counts, part), (back, many, own[order])):
                     near[np.repeat(at[of] - (np.cumsum(k) - k), k) + np.arange(len(to))] = to
                     at[of] += k
-        if task is None:
+        if near is None:
             return
+        near = np.asarray(near)
         del at
         total = np.zeros(n)
         for s in sources[task::tasks]:
@@ -379,8 +398,8 @@ def _packed_sums(packed: DataFrame, sources: list[int], n: int, tasks: int) -> D
             k = some[lo : lo + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k])], ["k", "score"])
 
-    dealt_out = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).withColumn("place", F.explode(F.array(F.lit(False), F.lit(True))))
-    found = dealt_out.repartitionById(tasks, F.col("task")).sortWithinPartitions("place", "first").mapInArrow(work, "k long, score double")
+    dealt_out = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    found = dealt_out.repartitionById(tasks, F.col("task")).sortWithinPartitions(F.col("ends").isNotNull(), "first").mapInArrow(work, "k long, score double")
     return found.groupBy("k").agg(F.sum("score").alias("score"))
 
 
